@@ -1,6 +1,6 @@
 """Mixing a corpus to target weights with soft domains.
 
-A naive Bayes classifier on hashed words, fitted on a labelled table, gives each
+A logistic classifier on hashed words (one domain against the rest), fitted on a labelled table, gives each
 document a posterior for each domain. A document's rate x >= 0 says how often it
 is to be used; the expected tokens of domain d are sum(x * tokens * p[d]). The
 rates minimise the squared distance of these totals (as shares of all tokens) to
@@ -26,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Words, encoded, map_batches, pick, written
+from tidemark.llm.quality import logistic
 
 BITS = 18
 #: Weights of the corpus: toxic text gets none, the rest keeps its share.
 TARGETS = {"clean": 1.0, "toxic": 0.0}
+#: The classifier's words: so many at most, whose share in a domain is at least so many deviations off.
+MOST_WORDS, LEAST_Z = 400, 4.0
 STEPS = 60
 TOLERANCE = 1e-4
 
@@ -37,7 +40,7 @@ TOLERANCE = 1e-4
 @dataclass(frozen=True)
 class DomainModel:
     domains: tuple[str, ...]
-    weights: np.ndarray  # (2 ** BITS, domains): log-likelihood of each hashed word
+    weights: np.ndarray  # (2 ** BITS, domains): weight of each hashed word
     prior: np.ndarray
 
 
@@ -54,27 +57,48 @@ def fit(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], per_domain
     prior = np.array([known.get(d, 0) + 1.0 for d in domains])
     present = np.zeros((1 << BITS, len(domains)))
     n = np.zeros(len(domains))
+    pairs, own_domain = [], []
     for k, d in enumerate(domains):
         part = own.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain)
         texts = pick(docs, doc_id="doc_id", text="text").where(F.length("text").between(1, max_chars))
         got = [r.text.encode() for r in texts.join(F.broadcast(part), "doc_id").select("text").collect()]
-        n[k] = len(got)
         words, f = _features(got)
-        for pair in np.unique(words.doc * (1 << BITS) + f):
-            present[pair & ((1 << BITS) - 1), k] += 1
-    p = (present + 0.5) / (n + 1.0)
-    return DomainModel(domains, np.log(p) - np.log(1 - p), np.log(prior / prior.sum()) + np.log(1 - p).sum(0))
+        pair = np.unique(words.doc * (1 << BITS) + f)
+        np.add.at(present[:, k], pair & ((1 << BITS) - 1), 1)
+        pairs.append((pair >> BITS) + int(n.sum()))
+        own_domain += [k] * len(got)
+        pairs.append(pair & ((1 << BITS) - 1))
+        n[k] = len(got)
+    weights, bias = np.zeros((1 << BITS, len(domains))), np.log(prior / prior.sum())
+    if (n > 0).sum() < 2:
+        return DomainModel(domains, weights, bias)
+    pooled = present.sum(1, keepdims=True) / n.sum()
+    z = (np.abs(present - n * pooled) / np.sqrt(n * pooled * (1 - pooled) + 0.5)).max(1)
+    chosen = np.argsort(-z, kind="stable")[:MOST_WORDS]
+    chosen = chosen[z[chosen] >= LEAST_Z]
+    column = np.full(1 << BITS, -1)
+    column[chosen] = np.arange(len(chosen))
+    doc, word = np.concatenate(pairs[0::2]), column[np.concatenate(pairs[1::2])]
+    x = np.zeros((int(n.sum()), len(chosen) + 1))
+    x[:, -1] = 1
+    x[doc[word >= 0], word[word >= 0]] = 1
+    y = np.array(own_domain)
+    share = (n + 1e-9) / n.sum()
+    w = (prior / prior.sum() / share)[y]  # the sample's domains count as in the labels
+    for k in range(len(domains)):
+        beta = logistic(x, (y == k).astype(float), w)
+        weights[chosen, k], bias[k] = beta[:-1], beta[-1]
+    return DomainModel(domains, weights, bias)
 
 
 def posteriors(texts: list[bytes], model: DomainModel) -> tuple[np.ndarray, np.ndarray]:
-    """(posteriors, word counts): a word counts once a text; words of about equal weight don't count."""
+    """(posteriors, word counts); a word counts once a text."""
     words, f = _features(texts)
     seen = np.unique(words.doc * (1 << BITS) + f)
     s = np.tile(model.prior, (len(texts), 1))
     w = model.weights[seen & ((1 << BITS) - 1)]
     np.add.at(s, seen >> BITS, w)
-    s -= s.max(1, keepdims=True)
-    p = np.exp(s)
+    p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
     return p / p.sum(1, keepdims=True), np.diff(words.first)
 
 

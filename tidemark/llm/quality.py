@@ -69,7 +69,7 @@ def _features(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(diff), diff, np.minimum(diff, 0), ratio, ratio**2, diff * ratio, np.minimum(ratio + 1.5, 0)], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton's method."""
     beta = np.zeros(x.shape[1])
     for _ in range(30):
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: in
     n = np.array([len(t) for t, _ in rest], float)
     y = np.array([q for _, q in rest], float)
     w = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
-    return QualityModel(dicts[1], dicts[0], tuple(_logistic(_features(n, ab[:, 0], ab[:, 1]), y, w)), prior, block, level)
+    return QualityModel(dicts[1], dicts[0], tuple(logistic(_features(n, ab[:, 0], ab[:, 1]), y, w)), prior, block, level)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:
