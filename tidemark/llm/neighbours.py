@@ -15,8 +15,8 @@ many blocks, dealt over tasks.
 
 Edge cases: vectors null, empty, zero, of another length than most, or with null
 or non-finite components take no part, as queries or candidates; ties go to the
-smaller vec_id; repeated rows of an id count once; queries without any candidate
-have no row; extra columns are ignored; an empty table gives an empty result.
+smaller vec_id; repeated rows of an id count once; a query whose buckets hold too few rows is
+compared with every block; queries without any candidate have no row; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -201,17 +201,34 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
             ss.append(s[r, c])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qs, ns, ss)], names=["q", "node", "score"])
 
-    found = map_batches(both, each, "q long, node long, score double").groupBy("q", "node").agg(F.max("score").alias("score"))
-    by = Window.partitionBy("q").orderBy(F.desc("score"), "node")
-    found = found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= top + 1).drop("place")
-    near = found.join(classes.select("node", F.explode("ids").alias("vec_id")), "node")
-    by = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    near = written(near.withColumn("place", F.row_number().over(by)).where(F.col("place") <= top + 1).select("q", "vec_id", "score", "place"), "nearest")
+    def ranked(pairs: DataFrame, tag: str) -> DataFrame:
+        return _ranked(map_batches(pairs, each, "q long, node long, score double"), classes, top, tag)
+
+    near = ranked(both, "nearest")
+    # queries whose buckets held too few rows meet every block
+    enough = min(top + 1, classes.select(F.sum(F.size("ids"))).first()[0])
+    met = near.groupBy("q").count().where(F.col("count") >= enough)
+    short = written(askers.join(met, askers.node == met.q, "left_anti"), "short_queries")
+    if not short.isEmpty():
+        packed = short.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(max(1, -(-short.count() // QUERY_BLOCK)))))
+        packed = packed.groupBy("block").agg(F.collect_list(F.struct("node", "vec")).alias("x")).select(F.lit(0).alias("t"), F.col("x.node").alias("qn"), F.flatten("x.vec").alias("qv"))
+        again = ranked(packed.join(blocks, "t").select("qn", "qv", "nodes", "vecs"), "nearest_again")
+        near = near.join(short.select(F.col("node").alias("q")), "q", "left_anti").unionByName(again)
     own = asked.join(askers.withColumnRenamed("node", "q"), "vec").select(F.col("vec_id").alias("query_id"), "q")
     lists = near.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))  # top + 1 at most
     out = own.join(lists, "q").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, top).alias("near"))
     return out.select("query_id", F.posexplode("near").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
+def _ranked(hits: DataFrame, classes: DataFrame, top: int, tag: str) -> DataFrame:
+    """hits(q, node, score) -> each query's top + 1 nearest ids (q, vec_id, score, place)."""
+    found = hits.groupBy("q", "node").agg(F.max("score").alias("score"))
+    by = Window.partitionBy("q").orderBy(F.desc("score"), "node")
+    found = found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= top + 1).drop("place")
+    near = found.join(classes.select("node", F.explode("ids").alias("vec_id")), "node")
+    by = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    return written(near.withColumn("place", F.row_number().over(by)).where(F.col("place") <= top + 1).select("q", "vec_id", "score", "place"), tag)
+
+
 def digest(embeddings: DataFrame) -> DataFrame:
     return search(embeddings, embeddings.where(F.col("vec_id") % 20 == 0))
