@@ -5,7 +5,7 @@ them of length one, so that the largest inner product is the smallest distance.
 Each of several tables hashes them by floor((a . x + b) / w) for a few Gaussian a.
 A query visits its own bucket and then perturbed ones, in the order of their
 estimated success (by expected squared distance to the crossed boundaries). The
-number of visits is fitted on a bounded sample to RECALL; the index holds every row.
+width and the number of visits are fitted on a bounded sample to RECALL; the index holds every row.
 
 Equal vectors are one class, of which only the TOP + 1 smallest ids can ever be
 asked for. Buckets and the queries that visit them are packed in blocks of
@@ -108,19 +108,27 @@ def fit(classes: DataFrame, n: int, norm: float, seed: int = 7) -> Hashing:
     s = q @ x.T
     s[np.arange(len(q)), np.arange(len(q))] = -np.inf
     true = np.argsort(-s, axis=1)[:, : min(TOP, max(1, len(x) - 1))]
-    h = Hashing(norm, a, h.b, w, 1)
     most = 3**k if k <= 7 else 4000
     sets = perturbations(k, most)
+    for _ in range(8):  # wider buckets until the visits can reach enough
+        h = Hashing(norm, a, h.b, w, len(sets))
+        good = np.flatnonzero(_reach(h, x, q, true, sets) >= RECALL)
+        if len(good):
+            return Hashing(norm, a, h.b, w, int(good[0]) + 1)
+        w *= 1.5
+    return h
+
+
+def _reach(h: Hashing, x: np.ndarray, q: np.ndarray, true: np.ndarray, sets: list[list[int]]) -> np.ndarray:
+    """The share of the true neighbours that 1, 2, ... visits find."""
     home, probe = np.floor(h.project(x, False)).astype(np.int64), h.project(q, True)
     first = np.full(true.shape, len(sets))
     for t in range(TABLES):
         v, own = codes(visited(probe[:, t], sets)), codes(home[:, t])
         for i in range(len(q)):
-            at = {int(c): p for p, c in reversed(list(enumerate(v[i].tolist())))}
+            at = {c: p for p, c in reversed(list(enumerate(v[i].tolist())))}
             first[i] = np.minimum(first[i], [at.get(int(c), len(sets)) for c in own[true[i]]])
-    reach = (first[..., None] < np.arange(1, len(sets) + 1)[None, None, :]).mean((0, 1)) if len(sets) < 3000 else np.array([(first < p).mean() for p in range(1, len(sets) + 1)])
-    good = np.flatnonzero(reach >= RECALL)
-    return Hashing(norm, a, h.b, w, int(good[0]) + 1 if len(good) else len(sets))
+    return np.array([(first < p).mean() for p in range(1, len(sets) + 1)])
 
 
 def _hashed(rows: DataFrame, h: Hashing, query: bool) -> DataFrame:
