@@ -102,7 +102,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | N
                 out, index = (store.open_output_stream(f"{base}/{name}.{x}") for x in ("rec", "idx"))
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i in range(0, len(texts), CHUNK):
-                enc = tok.encode_batch([t or "" for t in texts[i : i + CHUNK]], add_special_tokens=False)
+                enc = tok.encode_batch_fast([t or "" for t in texts[i : i + CHUNK]], add_special_tokens=False)
                 for d, e in zip(ids[i : i + CHUNK], enc):
                     d = NO_ID if d is None else d
                     seq = np.array([*e.ids, end_id], f"<u{width}")
