@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import backtest, hmm, joins, signals, voting
 from tidemark.operators import bars as B
 from tidemark.operators.recurrences import recurrent
+from tidemark.sources import market
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -97,3 +99,89 @@ def _kernel_sql(weights: list[float]) -> str:
 @registered(f" select symbol, bar_ts, round({_kernel_sql(B.rational_quadratic())}, 6) as rational, round({_kernel_sql(B.gaussian())}, 6) as gauss from b window o as ({W})")
 def kernels(b):
     return b.select("symbol", "bar_ts", *r6(rational=B.kernel(B.rational_quadratic()), gauss=B.kernel(B.gaussian())))
+
+
+VOTE = """, f as (select *, close / lag(close) over o - 1 as f1, (close - avg(close) over w) / nullif(stddev_samp(close) over w, 0) as f2, close / lag(close, 5) over o - 1 as f3, cast(sign(lead(close, 4) over o - close) as int) as label, row_number() over o - 1 as i from b window o as (partition by symbol order by bar_ts), w as (partition by symbol order by bar_ts rows between 19 preceding and current row)),
+p as (select q.symbol, q.bar_ts, c.i as j, c.label, round(ln(1 + abs(q.f1 - c.f1)) + ln(1 + abs(q.f2 - c.f2)) + ln(1 + abs(q.f3 - c.f3)), 9) as d from f q join f c on q.symbol = c.symbol and c.i <= q.i - 4 and c.i >= q.i - 2000 where c.i % 4 = 0 and c.label is not null and q.f1 + q.f2 + q.f3 is not null and c.f1 + c.f2 + c.f3 is not null),
+r as (select *, row_number() over (partition by symbol, bar_ts order by d, j) as n from p)
+select symbol, bar_ts, sum(label)::bigint as vote, count(*) as n, round(max(d), 6) as radius from r where n <= 8 group by 1, 2"""
+
+
+@registered(VOTE)
+def neighbour_vote(b):
+    d = b.withColumns({"f1": F.col("close") / B.back("close") - 1, "f2": B.zscore(), "f3": F.col("close") / B.back("close", 5) - 1, "label": B.direction()})
+    return voting.vote(d, ["f1", "f2", "f3"]).withColumn("radius", F.round("radius", 6))
+
+
+def _signals(b):
+    d = b.select("symbol", "bar_ts", "close", signals.squash(B.mean_reversion()).alias("s_mr"), signals.squash(B.momentum()).alias("s_tsmom"))
+    return d.withColumn("score", F.round(signals.score({"s_mr": 0.6, "s_tsmom": 0.4}), 6)).withColumn("side", signals.side(F.col("score"), 0.05))
+
+
+FUSED = f", f as (select symbol, bar_ts, close, -((close - avg(close) over w) / nullif(stddev_samp(close) over w, 0)) / greatest(stddev_samp(close) over w, 1e-8) as m, case when lag(close) over o is null or lag(close) over o = 0 then 0 else close / lag(close) over o - 1 end as t from b window o as ({W}), w as {F20}), s as (select *, round(m / (1 + abs(m)) * 0.6::double + t / (1 + abs(t)) * 0.4::double, 6) as score from f), g as (select *, case when score > 0.05 then 'BUY' when score < -0.05 then 'SELL' else 'HOLD' end as side from s)"
+
+
+@registered(f"{FUSED} select symbol, bar_ts, score, side from g")
+def fused_signals(b):
+    return _signals(b).select("symbol", "bar_ts", "score", "side")
+
+
+@registered(f"{FUSED}, l as (select side, cast(sign(lead(close, 4) over ({W}) - close) as int) as label from g) select side, label, count(*) as n from l where label is not null group by 1, 2")
+def confusion(b):
+    d = _signals(b).select("side", B.direction().alias("label"))
+    return d.where("label is not null").groupBy("side", "label").agg(F.count("*").alias("n"))
+
+
+@registered("")
+def cooled_signals(b):
+    return signals.cooled(_signals(b), 6 * 3600)
+
+
+@registered("")
+def backtest_snapshots(b):
+    return backtest.run(_signals(b))
+
+
+@registered("")
+def hidden_states(b):
+    d = b.select("symbol", "bar_ts", F.log(F.col("close") / B.back("close")).alias("r"))
+    return hmm.infer(d, hmm.fit(d, ["r"], rounds=5)[0], ["r"])
+
+
+for _name in ("cooled_signals", "backtest_snapshots", "hidden_states"):  # folds and iterations: no SQL
+    del SQL[_name]
+
+
+@registered(" , d as (select symbol, date_trunc('day', bar_ts) + interval 1 day as bar_ts, arg_max(close, bar_ts) as day_close from b group by symbol, date_trunc('day', bar_ts)) select b.symbol, b.bar_ts, b.close, d.day_close from b asof left join d on b.symbol = d.symbol and b.bar_ts >= d.bar_ts")
+def last_day_close(b):
+    """Each bar with the close of the last day that was over."""
+    days = b.groupBy("symbol", F.date_trunc("day", "bar_ts").alias("day")).agg(F.max_by("close", "bar_ts").alias("day_close"))
+    return joins.as_of(b.select("symbol", "bar_ts", "close"), days.select("symbol", (F.col("day") + F.expr("interval 1 day")).alias("bar_ts"), "day_close"), "day_close")
+
+
+@registered(f", r as (select symbol, bar_ts, close / lag(close) over ({W}) - 1 as r from b), m as (select bar_ts, avg(r) as m from r where r is not null group by 1) select symbol, round(regr_slope(r, m), 6) as beta, round(regr_intercept(r, m), 6) as alpha, round(corr(r, m), 6) as corr, count(r) as n from r join m using (bar_ts) group by symbol")
+def market_beta(b):
+    d = joins.against_market(b.select("symbol", "bar_ts", (F.col("close") / B.back("close") - 1).alias("r")))
+    return d.select("symbol", *r6(beta=F.col("beta"), alpha=F.col("alpha"), corr=F.col("corr")), "n")
+
+
+RUNS = SQL["regime_transitions"].split(", t as (")[0]
+SQL_RUNS = f"{RUNS}, c as (select *, case when regime is distinct from lag(regime) over ({W}) then 1 else 0 end as turn from g where regime is not null), j as (select *, sum(turn) over ({W}) as run from c), l as (select symbol, regime, run, count(*) as n from j group by all) select symbol, regime, count(*) as n_runs, max(n) as longest, round(avg(n), 6) as mean_length from l group by 1, 2"
+
+
+@registered(SQL_RUNS.split(f"with {BARS}")[1])
+def regime_runs(b):
+    d = B.regimes(b).where("regime is not null").select("symbol", "bar_ts", "regime")
+    turn = F.when(F.col("regime").eqNullSafe(B.back("regime")), 0).otherwise(1)
+    runs = d.withColumn("turn", turn).withColumn("run", F.sum("turn").over(B.by_symbol())).groupBy("symbol", "regime", "run").agg(F.count("*").alias("n"))
+    return runs.groupBy("symbol", "regime").agg(F.count("*").alias("n_runs"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean_length"))
+
+
+RULES = {"price": "least(open, high, low, close) > 0", "range": "high >= low", "bracket": "high >= greatest(open, close) and low <= least(open, close)", "volume": "volume >= 0", "level": "(open + high + low + close) / 4 between 1e-4 and 1e6"}
+BROKEN = ", ".join(f"case when not coalesce({x}, false) then '{n}' end" for n, x in RULES.items())
+
+
+@registered(f", f as (select symbol, list_filter([{BROKEN}], lambda x: x is not null) as broken from b), u as (select symbol, unnest(case when len(broken) = 0 then [null] else broken end) as rule from f) select symbol, rule, count(*) as n from u group by 1, 2")
+def broken_rules(b):
+    """Bars by the rule they break; the null rule counts sound bars."""
+    return b.select("symbol", F.explode_outer(market.faults()).alias("rule")).groupBy("symbol", "rule").agg(F.count("*").alias("n"))
