@@ -66,6 +66,38 @@ def test_language_and_quality_and_mixing(spark):
     assert all((r[i] < 0.5) == (i % 2 == 0) for i in range(40)) and len(r) == len(rows)
 
 
+def test_mixing_removes_a_rare_domain(spark):
+    weights = np.zeros((1 << mixing.BITS, 2))
+    weights[mixing._features([b"bad"])[1][0]] = (-12, 12)
+    model = mixing.DomainModel(("clean", "toxic"), weights, np.array([6.0, -6.0]))
+    for every in (100, 500):
+        rows = [(i, "bad words here" if i % every == 0 else "some words here", "en") for i in range(1000)]
+        got = mixing.mix(docs(spark, rows), model, mixing.TARGETS).collect()
+        assert len(got) == len(rows)
+        assert all(r.rate < 0.05 if r.doc_id % every == 0 else 0.6 < r.rate < 1.1 for r in got)
+
+
+def test_mixing_is_optimal_or_fails(monkeypatch):
+    import pytest
+
+    rng = np.random.default_rng(3)
+    p = rng.beta(0.3, 20, 500)
+    p = np.stack([1 - p, p], 1)
+    n = rng.integers(1, 100, 500).astype(float)
+
+    def totals(v):
+        x = mixing._rates(p, v)
+        return (x * n) @ p, (p * (n * (x > 0))[:, None]).T @ p, float((n * x * x).sum())
+
+    x = mixing._rates(p, mixing._optimum(totals, np.array([1.0, 0.0])))
+    own, total = n @ p, n.sum()
+    down = ((x * n) @ p - np.array([own[0], 0])) @ p.T / total + mixing.PULL * own.min() / total * (x - 1)  # the gradient a token
+    assert np.abs(down[x > 0]).max() < 1e-6 and down.min() > -1e-6 and (x == 0).any()
+    monkeypatch.setattr(mixing, "STEPS", 2)
+    with pytest.raises(RuntimeError):
+        mixing._optimum(totals, np.array([1.0, 0.0]))
+
+
 def test_viterbi_against_all_paths():
     import itertools
 
