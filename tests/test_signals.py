@@ -7,6 +7,7 @@ import pytest
 
 from tidemark.operators import backtest, hmm, joins, signals, voting
 from tidemark.operators.bars import bars_from_ticks
+from tidemark.plans.queries import QUERIES
 from tidemark.sources import market
 from tidemark.streaming.bars import stream_bars
 
@@ -61,6 +62,29 @@ def test_fitting_never_lowers_the_likelihood(spark):
     assert np.allclose(sorted(m.mean.ravel()), [0, 5], atol=0.5)
 
 
+def test_fitting_goes_on_until_it_converges(spark):
+    rng = np.random.default_rng(5)
+    x = np.where(np.repeat(rng.integers(0, 2, 30), 10) == 1, 2.0, 0.0) + rng.normal(size=300)
+    d = spark.createDataFrame(pd.DataFrame({"symbol": "x", "bar_ts": hours(300), "x": x}))
+    ll = hmm.fit(d, ["x"], 3)[1]
+    assert 10 < len(ll) <= 100 and (ll[-1] - ll[-2] < 1e-2 or len(ll) == 100)
+    with pytest.warns(UserWarning, match="did not converge"):
+        assert len(hmm.fit(d, ["x"], 3, 5)[1]) == 5
+
+
+def test_query_of_hidden_states_fits_to_the_end(spark, monkeypatch):
+    fit, seen = hmm.fit, []
+
+    def kept(*args, **kwargs):
+        seen.append(fit(*args, **kwargs))
+        return seen[-1]
+
+    monkeypatch.setattr(hmm, "fit", kept)
+    assert QUERIES["hidden_states"](spark, "/root/testdata/sf0.001").count()
+    ll = seen[0][1]
+    assert len(ll) == 100 or ll[-1] - ll[-2] < 1e-2
+
+
 def test_as_of_and_alignment(spark):
     a = spark.createDataFrame([("x", h) for h in hours(4)], "symbol string, bar_ts timestamp")
     b = spark.createDataFrame([("x", T0 + dt.timedelta(hours=1), 7.0), ("y", T0, 1.0)], "symbol string, bar_ts timestamp, v double")

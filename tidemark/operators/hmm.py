@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,25 +81,36 @@ def _sums_under(m: Model, obs: list[str]):
     return one
 
 
-def fit(rows: DataFrame, obs: list[str], states: int = 3, rounds: int = 10, least_var: float = 1e-9) -> tuple[Model, list[float]]:
-    """Expectation maximisation: each chain's expected sums are taken where its rows are; only their total, whose size is
+def fit(rows: DataFrame, obs: list[str], states: int = 3, rounds: int = 100, least_var: float = 1e-9, tolerance: float = 1e-2) -> tuple[Model, list[float]]:
+    """Expectation maximisation until a step gains less than tolerance in log likelihood, with a warning if rounds steps
+    don't suffice: each chain's expected sums are taken where its rows are; only their total, whose size is
     fixed by states and obs, reaches the driver. Returns the model and the log likelihood before each step."""
-    rows = rows.select("symbol", "bar_ts", *obs)
+    rows = rows.select("symbol", "bar_ts", *obs).persist()  # read in every step
+    try:
+        return _fit(rows, obs, states, rounds, least_var, tolerance)
+    finally:
+        rows.unpersist()
+
+
+def _fit(rows: DataFrame, obs: list[str], states: int, rounds: int, least_var: float, tolerance: float) -> tuple[Model, list[float]]:
     cuts = rows.approxQuantile(obs, [(k + 0.5) / states for k in range(states)], 0.01)
     var = np.array(rows.agg(*[F.var_pop(c) for c in obs]).first(), float)
     m = Model(np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)), np.array(cuts).T.copy(), np.tile(np.maximum(var, least_var), (states, 1)))
     np.fill_diagonal(m.move, 0.9 if states > 1 else 1.0)
     likelihoods, d = [], len(obs)
     for _ in range(rounds):
-        sums = rows.groupBy("symbol").applyInPandas(_sums_under(m, obs), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas().v.to_numpy()
+        sums = rows.groupBy("symbol").applyInPandas(_sums_under(m, obs), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i").v.to_numpy()
         if not len(sums):
-            break
+            return m, likelihoods
         ll, start, moves, n, s1, s2 = np.split(sums, np.cumsum([1, states, states * states, states, states * d]))
         likelihoods.append(float(ll[0]))
         n = np.maximum(n, 1e-300)[:, None]
         moves = moves.reshape(states, states) + 1e-12
         mean = s1.reshape(states, d) / n
         m = Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), mean, np.maximum(s2.reshape(states, d) / n - mean**2, least_var))
+        if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < tolerance:
+            return m, likelihoods
+    warnings.warn(f"the hidden Markov model did not converge in {rounds} steps", stacklevel=3)
     return m, likelihoods
 
 

@@ -145,7 +145,7 @@ def backtest_snapshots(b):
 @registered("")
 def hidden_states(b):
     d = b.select("symbol", "bar_ts", F.log(F.col("close") / B.back("close")).alias("r"))
-    return hmm.infer(d, hmm.fit(d, ["r"], rounds=5)[0], ["r"])
+    return hmm.infer(d, hmm.fit(d, ["r"])[0], ["r"])
 
 
 for _name in ("cooled_signals", "backtest_snapshots", "hidden_states"):  # folds and iterations: no SQL
