@@ -27,6 +27,14 @@ def test_neighbours_against_brute_force(spark):
     assert set(got.query_id) == set(range(0, 300, 20)) and hit >= 0.9 * 300
 
 
+def test_neighbours_of_a_repeated_row(spark):
+    x = np.random.default_rng(4).standard_normal((40, 8))
+    rows = [(1, [1.0] * 8)] * 25 + [(i, [1.0] * 8) for i in range(2, 6)] + [(100 + i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = neighbours.search(vectors, vectors.where("vec_id = 3")).orderBy("rank").collect()
+    assert len(got) == 20 and {1, 2, 4, 5} <= {r.vec_id for r in got}
+
+
 def test_lines_against_brute_force(spark):
     long, other = "This line is long enough to be counted as one.", "é" * 40
     rows = [(i, f"own {i}\n  {long if i % 2 else long.upper()}\t\n{other if i < 4 else ''}", "en") for i in range(8)] + [(20, None, None), (21, "", None), (22, long + "\n" + long, None)]

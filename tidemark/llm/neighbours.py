@@ -185,9 +185,9 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     if not sizes:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = sizes[0].d
-    # the few smallest ids of each distinct vector; the limit holds before the shuffle
+    # the few smallest ids of each distinct vector, each id once; the limit holds before the shuffle by vector
     place = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
-    ids = rows.where(F.size("vec") == d).withColumn("place", place).where(F.col("place") <= top + 1)
+    ids = rows.where(F.size("vec") == d).distinct().withColumn("place", place).where(F.col("place") <= top + 1)
     classes = ids.groupBy("vec").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
     classes = written(classes, "vector_classes")
     facts = classes.agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("m")).first()
