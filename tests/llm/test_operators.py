@@ -61,6 +61,21 @@ def test_licenses(spark):
     assert (got[3].n_words, got[3].labels, got[4].score) == (0, "", 0.0)
 
 
+def test_wrapped_licenses(spark):
+    rows = []
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        w = text.split()
+        rows += [(3 * k, "before it\n" * 30 + " ".join(w[: len(w) // 2]) + "\n" + " ".join(w[len(w) // 2 :]) + "\nafter it", "en"), (3 * k + 1, "\n * ".join(w), "en")]
+        rows.append((3 * k + 2, ("\n" + "other words " * 30).join(w), "en"))
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        for i in (3 * k, 3 * k + 1):
+            assert label in got[i].labels.split(",") and got[i].score == 1.0
+        assert got[3 * k + 2].labels == "" and got[3 * k + 2].score == 0.0
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
+    assert [r.labels for r in licenses.scan(docs(spark, [(1, bsd, "en")])).collect()] == ["bsd"]
+
+
 def test_language_and_quality_and_mixing(spark):
     rows = [(i, ("the house and the garden of " if i % 2 else "das Haus und der Garten von ") * 5 + str(i), "en" if i % 2 else "de") for i in range(40)] + [(99, None, None), (98, "123 !", None), (97, "the garden and the house " * 9 + "das Haus und der Garten " * 6, None)]
     d = docs(spark, rows)

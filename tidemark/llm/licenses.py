@@ -1,7 +1,10 @@
 """License scans by an exact set-similarity join, on DataFrame functions alone.
 
-A text's blocks are its lines. A block is labelled when it holds at least
-THRESHOLD of the distinct words of a template. Words are ordered by how many
+A text's blocks are its lines, and for notices wrapped over lines also all runs of as
+many words as a template has, across lines. A block is labelled when it holds at least
+THRESHOLD of the distinct words of a template. Of the runs, only stretches with one of a
+template's m - c + 1 longest words (without which it can't reach c of m) are looked at.
+Among lines, words are ordered by how many
 blocks hold them, rarest first. A template of m words that needs c of them must
 share one of its first m - c + 1 words with the block (prefix filter); a block
 needs at least c of the templates' words at all (length filter); and from the
@@ -9,7 +12,7 @@ first shared word on, both sides must have c words left (positional filter).
 Pairs that pass are counted exactly, so none is missed. Besides, phrases are
 found wherever their words stand consecutively, across lines too.
 
-One pass over the texts, without a shuffle, leaves a narrow table of counts and of
+The SQL knows lines only, so it agrees where no notice is wrapped. One pass over the texts, without a shuffle, leaves a narrow table of counts and of
 blocks cut down to the templates' words; all else works on it. Templates are a
 parameter, a few rows that are broadcast.
 
@@ -90,9 +93,17 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates=None,
         lasts.append(F.when(has, _spaces(F.substring(flat, F.lit(1), F.length(flat) - back - len(p) + 2)) - 1))
         labels.append(F.when(has, F.lit(label)))
     n_base = sum(counts[1:], counts[0])
+    # stretches of twice the longest template, so that each run of a template's length lies in one
+    lengths = [len("".join(c if c.isalnum() else " " for c in text).split()) for _, text in templates or TEMPLATES]
+    longest = max(lengths)
+    anchors = sorted({w for _, _, words, c in known for w in sorted(words, key=lambda w: (-len(w), w))[: len(words) - c + 1]})
+    words = F.split(F.trim(flat), " ")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(longest))
+    stretches = F.filter(F.transform(starts, lambda i: F.slice(words, i, 2 * longest)), lambda v: F.arrays_overlap(v, F.array(*map(F.lit, anchors))) & (F.size(F.array_intersect(v, vocab)) >= least))
+    stretches = F.when(F.contains("low", F.lit("\n")) & F.rlike(flat, F.lit(f" ({'|'.join(anchors)}) ")), stretches)
     staged = rows.select(
         "rid", "doc_id", F.when(flat == "  ", F.lit(0).cast("long")).otherwise(_spaces(flat) - 1).alias("n_words"), n_base.alias("n_base"),
-        F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base"), blocks.alias("blocks"),
+        F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base"), blocks.alias("blocks"), stretches.alias("stretches"),
     )
     staged = written(staged, "license_blocks")
     block = staged.where(F.size("blocks") > 0).select("rid", F.posexplode("blocks").alias("block", "words"))
@@ -111,8 +122,12 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates=None,
     tokens = block.select("rid", "block", ranked.alias("words")).select("rid", "block", "words", F.posexplode("words").alias("j", "w"))
     pairs = tokens.join(F.broadcast(prefix), "w").where("size(words) - j >= need and m - i >= need")
     sure = pairs.withColumn("share", F.size(F.array_intersect("words", "own")) / F.col("m")).where("size(array_intersect(words, own)) >= need")
+    own = spark.createDataFrame([(label, words, len(words), c, n) for (_, label, words, c), n in zip(known, lengths)], "label string, own array<string>, m int, need int, n int")
+    near = staged.where(F.size("stretches") > 0).select("rid", F.explode("stretches").alias("words")).crossJoin(F.broadcast(own)).where("size(array_intersect(words, own)) >= need")
+    runs = near.withColumn("most", F.expr("array_max(transform(sequence(1, greatest(1, size(words) - n + 1)), i -> size(array_intersect(slice(words, i, n), own))))")).where("most >= need")
+    sure = sure.select("rid", "label", "share").unionByName(runs.select("rid", "label", (F.col("most") / F.col("m")).alias("share")))
     by_doc = sure.groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("share").alias("best"))
-    out = staged.drop("blocks").join(by_doc, "rid", "left")
+    out = staged.drop("blocks", "stretches").join(by_doc, "rid", "left")
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
