@@ -61,5 +61,14 @@ def test_warc_chain(spark):
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_warc_keeps_long_urls(spark):
+    urls = ["data:," + "a" * 100_000 + x for x in "bc"] + ["http://x/é" + "é" * 3000, "http://short"]
+    want = [u.replace("é", "%C3%A9") for u in urls]
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(2)
+    manifest = warc.write(df)
+    for split in (5000, 1 << 20):
+        assert [r.url for r in warc.read(spark, manifest, split).orderBy("page_id").collect()] == want
+
+
 def test_no_pages(spark):
     assert warc.digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

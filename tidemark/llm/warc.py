@@ -35,14 +35,12 @@ from tidemark.llm.common import encoded, fs_of, limit_batches, map_batches, new_
 MAGIC = b"WARC/1.1\r\n"
 MIN_REVISIT = 100
 SPLIT = 4 << 20
-#: No header written here is longer; a longer one isn't a header.
-MOST_HEAD = 1 << 16
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     own = "null-" + uuid.uuid4().hex if page_id is None else str(page_id)
-    uri = "".join(c if 33 <= ord(c) < 127 else "".join(f"%{x:02X}" for x in c.encode()) for c in (url or "urn:x-none"))[:8192]
+    uri = "".join(c if 33 <= ord(c) < 127 else "".join(f"%{x:02X}" for x in c.encode()) for c in (url or "urn:x-none"))
     block = HTTP + payload if refers_to is None else HTTP
     kind = "response" if refers_to is None else "revisit"
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{own}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
@@ -52,11 +50,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return MAGIC + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
-    """(fields, start of the block, end of the record) of the record at this place, or None if no header stands there."""
+def parse(data: bytes, at: int, most_head: int) -> tuple[dict[str, str], int, int] | None:
+    """(fields, start of the block, end of the record) of the record at this place, or None if no header of at most most_head bytes stands there."""
     if not data.startswith(MAGIC, at):
         return None
-    stop = data.find(b"\r\n\r\n", at, at + MOST_HEAD)
+    stop = data.find(b"\r\n\r\n", at, at + most_head)
     if stop < 0:
         return None
     fields = {}
@@ -72,7 +70,7 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes archives; returns the manifest (path, n_bytes)."""
+    """Writes archives; returns the manifest (path, n_bytes, most_head); no header of the file is longer than most_head."""
     spark = pages.sparkSession
     limit_batches(spark)
     folder = folder or new_dir(spark, "warc")
@@ -87,7 +85,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     typed = typed.select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "first")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n, path = None, 0, ""
+        out, n, most, path = None, 0, 0, ""
         for b in batches:
             if not b.num_rows:
                 continue
@@ -101,15 +99,16 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 data = record(*row)
                 out.write(data)
                 n += len(data)
+                most = max(most, data.index(b"\r\n\r\n") + 4)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "n_bytes": pa.array([n])})
+            yield pa.RecordBatch.from_pydict({"path": [path], "n_bytes": pa.array([n]), "most_head": pa.array([most])})
 
-    return written(typed.mapInArrow(each, "path string, n_bytes long"), "manifest")
+    return written(typed.mapInArrow(each, "path string, n_bytes long, most_head long"), "manifest")
 
 
 def _splits(spark: SparkSession, manifest: DataFrame, split: int) -> DataFrame:
-    s = manifest.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("begin"))
+    s = manifest.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("begin"), "most_head")
     return s.repartition(spark.sparkContext.defaultParallelism * 2)
 
 
@@ -126,13 +125,13 @@ def candidates(splits: DataFrame, split: int) -> DataFrame:
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
-        for path, size, begin in zip(*(b.column(i).to_pylist() for i in range(3))):
+        for path, size, begin, most in zip(*(b.column(i).to_pylist() for i in range(4))):
             end = min(begin + split, size)
-            f, data = _bytes(path, begin, end, MOST_HEAD)
+            f, data = _bytes(path, begin, end, most)
             f.close()
             nxt, at = {}, data.find(MAGIC)
             while 0 <= at < end - begin:
-                if (got := parse(data, at)) and begin + got[2] <= size:
+                if (got := parse(data, at, most)) and begin + got[2] <= size:
                     nxt[at] = got[2]
                 at = data.find(MAGIC, at + 1)
             leave: dict[int, int] = {}
@@ -164,7 +163,7 @@ def entries(spark: SparkSession, manifest: DataFrame, split: int = SPLIT) -> Dat
 
 def read(spark: SparkSession, manifest: DataFrame, split: int = SPLIT) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, path, at) of every true record."""
-    found = entries(spark, manifest, split).join(manifest, "path").select("path", "begin", "at", "n_bytes").repartition(spark.sparkContext.defaultParallelism * 2)
+    found = entries(spark, manifest, split).join(manifest, "path").select("path", "begin", "at", "n_bytes", "most_head").repartition(spark.sparkContext.defaultParallelism * 2)
 
     def page(urn: str | None) -> int | None:
         tail = (urn or "").removeprefix("<urn:x-page:").removesuffix(">")
@@ -172,20 +171,20 @@ def read(spark: SparkSession, manifest: DataFrame, split: int = SPLIT) -> DataFr
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for path, begin, at, size in zip(*(b.column(i).to_pylist() for i in range(4))):
-            f, data = _bytes(path, at, begin + split, MOST_HEAD)
+        for path, begin, at, size, most in zip(*(b.column(i).to_pylist() for i in range(5))):
+            f, data = _bytes(path, at, begin + split, most)
             with f:
                 i = 0
                 while at + i < min(begin + split, size):
-                    if len(data) - i < MOST_HEAD:  # the next header may be cut
+                    if len(data) - i < most:  # the next header may be cut
                         f.seek(at + i)
-                        data, at, i = f.read(begin + split - at - i + MOST_HEAD), at + i, 0
-                    if (got := parse(data, i)) is None:
+                        data, at, i = f.read(begin + split - at - i + most), at + i, 0
+                    if (got := parse(data, i, most)) is None:
                         raise ValueError(f"{path}: no record at {at + i}")
                     fields, start, end = got
                     if end > len(data):  # the block goes on beyond what was read
                         f.seek(at + i)
-                        data, start, end, at, i = f.read(end - i + MOST_HEAD), start - i, end - i, at + i, 0
+                        data, start, end, at, i = f.read(end - i + most), start - i, end - i, at + i, 0
                     kind = fields["warc-type"]
                     digest = fields["warc-payload-digest"].removeprefix("sha256:")
                     n = int(fields["x-payload-length"])
