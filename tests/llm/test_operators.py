@@ -121,14 +121,6 @@ def test_mixing_is_optimal_or_fails(monkeypatch):
         mixing._optimum(totals, np.array([1.0, 0.0]))
 
 
-def test_viterbi_against_all_paths():
-    import itertools
-
-    s = np.random.default_rng(2).standard_normal((6, 3)) * 3
-    best = max(itertools.product(range(3), repeat=6), key=lambda p: sum(s[i, k] for i, k in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:])))
-    assert langid.viterbi(s, np.array([0, 6]), 2.0).tolist() == list(best)
-
-
 def test_simhash_against_brute_force(spark):
     base = " ".join(f"word{i}" for i in range(200))
     rows = [(5, base, "en"), (3, base.upper(), "en"), (9, base + " tail", "en"), (1, "quite another text of words", "en"), (7, None, None), (6, "  ", None)]
