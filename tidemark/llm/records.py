@@ -12,6 +12,10 @@ Rows are dealt by ranges of doc_id; each task tokenizes and writes one file unde
 a name of its own attempt, and only names in the written manifest count, so a
 repeated task does no harm. Only the manifest (a row per file) reaches the driver.
 
+Words are looked up in a bounded cache of ids: most of a tokenizer's time goes into words it has met before. Texts whose
+characters are plain (no mark, no rare letter, no added token) are normalised and split here just as the tokenizer does it; all
+others, and all texts under a tokenizer with other rules, go to the tokenizer whole.
+
 Edge cases: a null text is empty and gives the end id alone; a null doc_id comes
 first; repeated rows of a doc_id are written each, in the order of their text;
 long texts are encoded whole; an empty table gives no file; extra columns are
@@ -20,12 +24,17 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import random
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +49,65 @@ ENTRY = "<qQQ"
 MASK = 0xA282EAD8
 #: Texts encoded at once.
 CHUNK = 64
+#: Distinct words whose ids a worker keeps, and the longest of them.
+CACHE, LONGEST = 300_000, 48
+
+#: The rules under which a text can be split here - normalizers and pre-tokenizers, as the file states them.
+NORMALIZER = ["NFC", ("Replace", r"\s+", " "), "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts with anything but these characters, or the start of an added token, aren't split here.
+ODD = re.compile("[^\t\n\r -~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]|<\\|")
+
+
+def _plain(kind: str) -> str:
+    """The plain characters of a general category, for a character class."""
+    return "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == kind)
+
+
+WORD = re.compile(SPLIT.replace(r"\p{L}", _plain("L")).replace(r"\p{N}", _plain("N")))
+
+
+class Encoder(dict):
+    """Ids of texts; as a dict, of words."""
+
+    _made: dict[str, Encoder] = {}
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        rules = json.loads(self.tok.to_str())
+        norm = [x["type"] if x["type"] != "Replace" else ("Replace", x["pattern"].get("Regex"), x["content"]) for x in (rules.get("normalizer") or {}).get("normalizers", ())]
+        pre = (rules.get("pre_tokenizer") or {}).get("pretokenizers", ())
+        split = [(x["type"], x.get("pattern", {}).get("Regex"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in pre]
+        self.own = norm == NORMALIZER and split == [("Split", SPLIT, True, None, None), ("ByteLevel", None, None, False, False)] and all(t["content"].startswith("<|") for t in rules["added_tokens"])
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # a byte is written as itself or, if it can't be seen, as one of the characters from 256 on
+        self.shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """One per process: workers serve many tasks."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(t.id for t in self.tok.model.tokenize(word if word.isascii() else "".join(self.shown[b] for b in word.encode())))
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def ids(self, texts: list[str]) -> list[array]:
+        out = [None if not self.own or ODD.search(t) else array("I", chain.from_iterable(map(self.__getitem__, WORD.findall(t.lower())))) for t in texts]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for i in range(0, len(rest), CHUNK):
+            part = rest[i : i + CHUNK]
+            for k, e in zip(part, self.tok.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)):
+                out[k] = array("I", e.ids)
+        return out
 
 
 def masked(data: bytes) -> int:
@@ -84,17 +152,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | N
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text").withColumn("part", F.spark_partition_id())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = out = index = None
+        enc = out = index = None
         n = total = at = part = width = 0
         for b in batches:
             if not b.num_rows:
                 continue
             if out is None:
-                tok = Tokenizer.from_file(tokenizer)
-                width = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+                enc = Encoder.of(tokenizer)
+                width = 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
                 part = b.column(2)[0].as_py()
                 store, base = fs_of(folder)
                 store.create_dir(base, recursive=True)
@@ -102,10 +167,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | N
                 out, index = (store.open_output_stream(f"{base}/{name}.{x}") for x in ("rec", "idx"))
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i in range(0, len(texts), CHUNK):
-                enc = tok.encode_batch_fast([t or "" for t in texts[i : i + CHUNK]], add_special_tokens=False)
-                for d, e in zip(ids[i : i + CHUNK], enc):
+                for d, own in zip(ids[i : i + CHUNK], enc.ids([t or "" for t in texts[i : i + CHUNK]])):
                     d = NO_ID if d is None else d
-                    seq = np.array([*e.ids, end_id], f"<u{width}")
+                    seq = np.append(np.frombuffer(own, np.uint32), np.uint32(end_id)).astype(f"<u{width}")
                     data = frame(struct.pack("<qB", d, width) + seq.tobytes())
                     out.write(data)
                     index.write(struct.pack(ENTRY, d, at, len(seq)))
