@@ -9,8 +9,8 @@ share of them the score. All words of a batch are scored by array operations, an
 all blocks of all its texts go through the Viterbi pass side by side. Scores are
 whole numbers, so that results don't hang on batches or blocks.
 
-The model is fitted on a bounded sample: at most per_lang documents of each language (the
-smallest by hash of doc_id) and sample_docs in all, whole texts. Every language is
+The model is fitted on a bounded sample: about per_lang documents of each language (those with the
+smallest hash of doc_id) and at most sample_docs in all, whole texts. Every language is
 learned as long as there are no more than sample_docs, those of most documents first. Ids are
 chosen first, their n-grams are counted where the texts are, and counts of at most 2 ** MODEL_BITS buckets reach the driver.
 
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Words, crc_of_id, encoded, map_batches, mix, pick
@@ -270,16 +270,15 @@ def fit(docs: DataFrame, per_lang: int = 400, sample_docs: int = 4000, seed: int
     """docs(doc_id, text, lang) to learn from; see above for the sample."""
     spark = docs.sparkSession
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").where("doc_id is not null and lang is not null and length(text) > 0")
-    # ids first: a narrow table of which each task passes on per_lang rows a language
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("o"))
-    own = Window.partitionBy("lang").orderBy("o", "doc_id")
-    some = ids.withColumn("_first", F.dense_rank().over(own)).where(F.col("_first") <= per_lang).distinct()
-    size = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    chosen = some.join(size, "lang").orderBy("_first", F.desc("n"), "lang", "o", "doc_id").limit(sample_docs).select("doc_id", "lang")
-    chosen = [(r.doc_id, r.lang) for r in chosen.collect()]  # at most sample_docs pairs of an id and a language
-    langs = tuple(sorted({x for _, x in chosen}))
-    if not langs:
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_docs).collect()
+    if not known:
         return train({})
+    # ids first, without a task that holds a language: a document's place is about its rank by hash within its language
+    size = F.broadcast(spark.createDataFrame(known, "lang string, n long"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53) * F.col("n")
+    ids = rows.select("doc_id", "lang").join(size, "lang").select("doc_id", "lang", place.alias("o")).where(F.col("o") < per_lang).distinct()
+    chosen = [(r.doc_id, r.lang) for r in ids.orderBy("o", "lang", "doc_id").limit(sample_docs).collect()]  # at most sample_docs pairs
+    langs = tuple(sorted({x for _, x in chosen}))
     bits = bits_for(len(langs))
     number = {x: k for k, x in enumerate(langs)}
     picked = spark.createDataFrame([(d, x, number[x]) for d, x in chosen], "_d long, _l string, k int")
