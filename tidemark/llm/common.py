@@ -53,12 +53,42 @@ def fs_of(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
 
+def place_of(df: DataFrame, column: str) -> int:
+    """The position of a column: of the exact name, else of the first that differs in case alone."""
+    names = df.columns
+    return names.index(column) if column in names else [c.lower() for c in names].index(column.lower())
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named _0, _1, ..., so that clashing names do no harm; toDF(*df.columns) gives them back."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns (new name=column of df), by position of the first match, so clashing extra columns do no harm."""
-    names = [c.lower() for c in df.columns]
-    if len(set(names)) < len(names):
-        df = df.toDF(*[c if c.lower() not in names[:i] else f"{c}__{i}" for i, c in enumerate(df.columns)])
-    return df.select(*[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
+    """Only the named columns (new name=column of df); clashing extra columns do no harm."""
+    return numbered(df).select(*[F.col(f"_{place_of(df, c)}").alias(n) for n, c in columns.items()])
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with docs' columns, whose doc_id and hash of the text aren't in gone(gone_id, gone_key)."""
+    inner = numbered(docs)
+    d, t = (F.col(f"_{place_of(docs, c)}") for c in ("doc_id", "text"))
+    kept = inner.join(gone.select("gone_id", "gone_key").distinct(), d.eqNullSafe(F.col("gone_id")) & F.xxhash64(t).eqNullSafe(F.col("gone_key")), "left_anti")
+    return kept.toDF(*docs.columns)
+
+
+#: Tables of up to so many narrow rows (of some tens of bytes) are broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def dealt(rows: DataFrame, keys: list[str], size: int, by: str) -> DataFrame:
+    """rows with block: groups of the same keys are cut in blocks of about size rows by a hash of a column. What is grouped
+    by keys and block afterwards is dealt out by both, so that a hot key is many tasks' work."""
+    hot = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("long").alias("blocks")).where("blocks > 1")
+    hot = written(hot, "hot")
+    few = hot.count() <= BROADCAST_ROWS
+    out = rows.join(F.broadcast(hot) if few else hot, keys, "left").withColumn("block", F.pmod(F.xxhash64(by), F.coalesce("blocks", F.lit(1).cast("long")))).drop("blocks")
+    return out if few else out.repartition(*keys, "block")
 
 
 def map_batches(df: DataFrame, f, schema: str | T.StructType) -> DataFrame:

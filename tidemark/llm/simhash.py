@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import encoded, map_batches, pick, written
+from tidemark.llm.common import dealt, encoded, map_batches, numbered, pick, place_of, written
 from tidemark.llm.components import components
 
 RADIUS = 3
@@ -115,7 +115,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def parts_for(n: int) -> int:
-    """Of how many equal parts of the fingerprint the tiles hold population counts: tiles stay of some hundred rows."""
+    """Of how many equal parts of the fingerprint the tiles hold population counts: the largest tiles stay of some thousand rows."""
     return 1 if n < 20_000 else 2 if n < 1_000_000 else 4 if n < 60_000_000 else 8
 
 
@@ -193,10 +193,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None) -
     """distinct(fp, node), each fp once -> edges (u, v) that join all fp within the radius of each other."""
     parts = parts or parts_for(distinct.count())
     coded = distinct.where("node is not null").withColumn("tile", _tile_code(F.col("fp"), parts))
-    blocks_of = coded.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     packed = (
-        coded.join(blocks_of, "tile")
-        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+        dealt(coded, ["tile"], BLOCK, "fp")
         .groupBy("tile", "block")
         .agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("rows"))
         .select("tile", "block", F.col("rows.fp").alias("fps"), F.col("rows.node").alias("nodes"))
@@ -235,5 +233,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int | None = N
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component (rows without doc_id stay)."""
     found = near_duplicates(docs, radius)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return numbered(docs).join(gone, F.col(f"_{place_of(docs, 'doc_id')}") == F.col("gone_id"), "left_anti").toDF(*docs.columns)
