@@ -5,7 +5,8 @@ them of length one, so that the largest inner product is the smallest distance.
 Each of several tables hashes them by floor((a . x + b) / w) for a few Gaussian a.
 A query visits its own bucket and then perturbed ones, in the order of their
 estimated success (by expected squared distance to the crossed boundaries). The
-width and the number of visits are fitted on a bounded sample to RECALL; the index holds every row.
+width and the number of visits are fitted on a bounded sample: buckets widen until the visits reach RECALL there
+(in the end all rows are in few buckets); the index holds every row.
 
 Equal vectors are one class, of which only the TOP + 1 smallest ids can ever be
 asked for. Buckets and the queries that visit them are packed in blocks of
@@ -15,13 +16,13 @@ many blocks, dealt over tasks.
 
 Edge cases: vectors null, empty, zero, of another length than most, or with null
 or non-finite components take no part, as queries or candidates; ties go to the
-smaller vec_id; repeated rows of an id count once; a query whose buckets hold too few rows is
-compared with every block; queries without any candidate have no row; extra columns are ignored; an empty table gives an empty result.
+smaller vec_id; repeated rows of an id count once; queries without any candidate have no row; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, pick, written
+from tidemark.llm.common import dealt, limit_batches, map_batches, pick, written
 
 TOP = 20
 TABLES = 2
 RECALL = 0.97
 #: Rows from which tables and visits are fitted, and queries tried on them, at most.
 SAMPLE, TRIED = 6000, 200
-BLOCK, QUERY_BLOCK = 2048, 512
+BLOCK, QUERY_BLOCK, PASS = 2048, 512, 2048
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,7 @@ class Hashing:
     b: np.ndarray  # (tables, hashes)
     w: float
     visits: int
+    recall: float = 0.0  # on the sample
 
     def project(self, x: np.ndarray, query: bool) -> np.ndarray:
         """(rows, tables, hashes), in units of a bucket's width."""
@@ -110,13 +112,13 @@ def fit(classes: DataFrame, n: int, norm: float, seed: int = 7) -> Hashing:
     true = np.argsort(-s, axis=1)[:, : min(TOP, max(1, len(x) - 1))]
     most = 3**k if k <= 7 else 4000
     sets = perturbations(k, most)
-    for _ in range(8):  # wider buckets until the visits can reach enough
+    while True:  # wider buckets until the visits reach enough
         h = Hashing(norm, a, h.b, w, len(sets))
-        good = np.flatnonzero(_reach(h, x, q, true, sets) >= RECALL)
+        reach = _reach(h, x, q, true, sets)
+        good = np.flatnonzero(reach >= RECALL)
         if len(good):
-            return Hashing(norm, a, h.b, w, int(good[0]) + 1)
+            return Hashing(norm, a, h.b, w, int(good[0]) + 1, float(reach[good[0]]))
         w *= 1.5
-    return h
 
 
 def _reach(h: Hashing, x: np.ndarray, q: np.ndarray, true: np.ndarray, sets: list[list[int]]) -> np.ndarray:
@@ -145,15 +147,14 @@ def _hashed(rows: DataFrame, h: Hashing, query: bool) -> DataFrame:
         arr = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * c.shape[1], pa.int32()), pa.array(c.ravel()))
         return pa.RecordBatch.from_arrays([*b.columns, arr], names=["node", "vec", "buckets"])
 
-    out = map_batches(rows.select("node", "vec"), each, "node long, vec array<float>, buckets array<long>")
+    out = map_batches(rows.select("node", "vec"), each, f"node long, vec {rows.schema['vec'].dataType.simpleString()}, buckets array<long>")
     out = out.select("node", "vec", F.posexplode("buckets").alias("p", "bucket"))
     return out.select((F.col("p") / len(sets)).cast("int").alias("t"), "bucket", "node", "vec")
 
 
 def _packed(rows: DataFrame, size: int, tag: str) -> DataFrame:
     """(t, bucket, nodes, vecs): blocks of about size rows of a bucket."""
-    counts = rows.groupBy("t", "bucket").agg(F.ceil(F.count("*") / size).cast("long").alias("blocks"))
-    cut = rows.join(counts, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cut = dealt(rows, ["t", "bucket"], size, "node")
     got = cut.groupBy("t", "bucket", "block").agg(F.collect_list(F.struct("node", "vec")).alias("x"))
     return written(got.select("t", "bucket", F.col("x.node").alias("nodes"), F.flatten("x.vec").alias("vecs")), tag)
 
@@ -175,8 +176,11 @@ def best_of(scores: np.ndarray, nodes: np.ndarray, top: int) -> tuple[np.ndarray
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """vectors(vec_id, embedding), queries(vec_id, embedding): query_id, rank, vec_id, score of each query's nearest rows but its own id."""
 
+    single = all(pick(df, vec="embedding").schema["vec"].dataType.simpleString() == "array<float>" for df in (vectors, queries))
+    kind = "array<float>" if single else "array<double>"
+
     def valid(df: DataFrame) -> DataFrame:
-        df = pick(df, vec_id="vec_id", vec="embedding").withColumn("vec", F.col("vec").cast("array<float>"))
+        df = pick(df, vec_id="vec_id", vec="embedding").withColumn("vec", F.col("vec").cast(kind))
         fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return df.where(F.col("vec_id").isNotNull() & (F.size("vec") > 0) & fine & F.exists("vec", lambda x: x != 0))
 
@@ -213,21 +217,45 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
         return _ranked(map_batches(pairs, each, "q long, node long, score double"), classes, top, tag)
 
     near = ranked(both, "nearest")
-    # queries whose buckets held too few rows meet every block
+    # queries whose buckets held too few rows go over all blocks
     enough = min(top + 1, classes.select(F.sum(F.size("ids"))).first()[0])
     met = near.groupBy("q").count().where(F.col("count") >= enough)
-    short = written(askers.join(met, askers.node == met.q, "left_anti"), "short_queries")
-    if not short.isEmpty():
-        packed = short.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(max(1, -(-short.count() // QUERY_BLOCK)))))
-        packed = packed.groupBy("block").agg(F.collect_list(F.struct("node", "vec")).alias("x")).select(F.lit(0).alias("t"), F.col("x.node").alias("qn"), F.flatten("x.vec").alias("qv"))
-        again = ranked(packed.join(blocks, "t").select("qn", "qv", "nodes", "vecs"), "nearest_again")
-        near = near.join(short.select(F.col("node").alias("q")), "q", "left_anti").unionByName(again)
+    short = askers.join(met, askers.node == met.q, "left_anti")
+    n_short = (short := written(short, "short_queries")).count()
+    passes = -(-n_short // (PASS // 2))  # a pass of a hash's remainder stays below PASS
+    for k in range(passes):
+        part = short.where(F.pmod(F.xxhash64("node"), F.lit(passes)) == k)
+        hits = _scanned(blocks.where("t = 0"), part, top)
+        near = near.join(part.select(F.col("node").alias("q")), "q", "left_anti").unionByName(_ranked(hits, classes, top, "nearest_again"))
     own = asked.join(askers.withColumnRenamed("node", "q"), "vec").select(F.col("vec_id").alias("query_id"), "q")
     lists = near.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))  # top + 1 at most
     out = own.join(lists, "q").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, top).alias("near"))
     return out.select("query_id", F.posexplode("near").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
+def _scanned(blocks: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """(q, node, score): each query's best of all blocks that a task reads. queries: a bounded number, broadcast."""
+    got = queries.select("node", "vec").collect()
+    qn, qv = np.array([r.node for r in got], np.int64), np.array([r.vec for r in got], float)
+    shared = queries.sparkSession.sparkContext.broadcast((qn, qv))
+    limit_batches(queries.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qn, qv = shared.value
+        best_s, best_n = np.full((len(qn), 0), -np.inf), np.zeros((len(qn), 0), np.int64)
+        for b in batches:
+            for i in range(b.num_rows):
+                n, v = (b.column(c)[i].values.to_numpy() for c in range(2))
+                s = np.hstack([best_s, np.einsum("qd,nd->qn", qv, v.reshape(len(n), -1).astype(float), optimize=True)])
+                n = np.hstack([best_n, np.tile(n, (len(qn), 1))])
+                order = np.lexsort((n, -s), axis=1)[:, : top + 1]
+                best_s, best_n = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
+        if best_s.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qn, best_s.shape[1])), pa.array(best_n.ravel()), pa.array(best_s.ravel())], names=["q", "node", "score"])
+
+    return blocks.select("nodes", "vecs").mapInArrow(each, "q long, node long, score double")
+
+
 def _ranked(hits: DataFrame, classes: DataFrame, top: int, tag: str) -> DataFrame:
     """hits(q, node, score) -> each query's top + 1 nearest ids (q, vec_id, score, place)."""
     found = hits.groupBy("q", "node").agg(F.max("score").alias("score"))
@@ -239,4 +267,5 @@ def _ranked(hits: DataFrame, classes: DataFrame, top: int, tag: str) -> DataFram
 
 
 def digest(embeddings: DataFrame) -> DataFrame:
-    return search(embeddings, embeddings.where(F.col("vec_id") % 20 == 0))
+    rows = pick(embeddings, vec_id="vec_id", embedding="embedding")
+    return search(rows, rows.where(F.col("vec_id") % 20 == 0))
