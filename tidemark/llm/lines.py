@@ -1,15 +1,16 @@
 """Line deduplication on levelled sorted runs of line hashes.
 
 A store keeps runs: Parquet tables of (h1, h2, n_docs, last), sorted by hash, one
-per level and number. Each batch of documents is aggregated to one row per line
-hash, merge-anti-joined with the runs (what remains is new to the store) and
-added as a run of level 0. When a level has FANOUT runs they are merged into one
-of the next level, so that each hash is rewritten a logarithmic number of times.
-Batches must not share documents; digest() deals them by a hash of doc_id.
+per level and number, no hash in two of them. Each batch of documents is aggregated to one row per line
+hash and merge-anti-joined with the runs: what remains is new to the store and becomes a
+run of level 0; the rest, known hashes, becomes a tally, which adds to their counts. When a level has FANOUT runs
+(or there are FANOUT tallies) they are merged into one, so that each hash is rewritten a logarithmic number of times.
+Batches must not share documents; drop_repeats() deals them by a hash of doc_id.
 
 A line's key is hashed to 128 bits. Counts are combined before the shuffle, so a
-line found in every document does no harm; what a document loses comes back
-to it by its doc_id, and its lines are filtered in one pass over the whole text.
+line found in every document does no harm. Common lines are broadcast while there are at most COMMON_ROWS of them, and texts
+are filtered where they are; beyond that, what a document loses comes back to it by its doc_id. Its lines are filtered in one
+pass over the whole text.
 
 Edge cases: a null or empty text is one empty line; repeated rows of a doc_id
 count as one document and are filtered alike; rows without doc_id count as one
@@ -20,8 +21,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 FANOUT = 3
 BATCHES = 4
+#: Common lines that are broadcast (24 bytes each), at most.
+COMMON_ROWS = 500_000
 BLANK = b" \t\n\v\f\r"
 RUN = "h1 long, h2 long, n_docs long, last long"
 NO_ID = -(1 << 63)
@@ -66,20 +68,26 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineStore:
-    """The levelled runs, in one folder of the shared store. levels[k] holds the paths of level k, oldest first."""
+    """The levelled runs, in one folder of the shared store. levels[k] holds the paths of level k, oldest first; tallies those of
+    counts that add to them."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
         self.spark, self.folder, self.fanout = spark, folder or new_dir(spark, "line_runs"), fanout
         self.levels: list[list[str]] = []
+        self.tallies: list[str] = []
         self.made = 0
 
-    def _write(self, rows: DataFrame, level: int) -> str:
-        path = f"{self.folder}/level{level}/run{self.made}"
+    def _write(self, rows: DataFrame, tag: str) -> str:
+        path = f"{self.folder}/{tag}/run{self.made}"
         self.made += 1
         # one range per task, each sorted: the run is sorted as a whole
         rows.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(path)
+        return path
+
+    def _run(self, rows: DataFrame, level: int) -> str:
         while len(self.levels) <= level:
             self.levels.append([])
+        path = self._write(rows, f"level{level}")
         self.levels[level].append(path)
         return path
 
@@ -91,9 +99,9 @@ class LineStore:
         return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"))
 
     def rows(self) -> DataFrame:
-        """All runs, as one row per hash."""
-        paths = [p for level in self.levels for p in level]
-        return self.merged(self._read(paths)) if len(paths) > 1 else self._read(paths)
+        """All runs with their tallies, as one row per hash."""
+        runs = self._read([p for level in self.levels for p in level])
+        return self.merged(runs.unionByName(self._read(self.tallies))) if self.tallies else runs
 
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """The rows of a batch (h1, h2, ...) whose hash is in no run: a merge-anti-join with each run."""
@@ -103,23 +111,76 @@ class LineStore:
         return hashes
 
     def add(self, hashes: DataFrame) -> DataFrame:
-        """Adds a batch (doc_id, h1, h2; distinct) as a run and compacts; returns the batch's hashes that are new, as (h1, h2, n_docs, last)."""
+        """Adds a batch (doc_id, h1, h2; distinct) and compacts; returns the batch's hashes that are new, as (h1, h2, n_docs, last)."""
         batch = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last"))
-        before = [list(x) for x in self.levels]
-        path = self._write(batch, 0)
-        past = LineStore(self.spark, self.folder, self.fanout)
-        past.levels = before
-        fresh = past.unseen(self._read([path]))
+        if not self.levels:
+            fresh = self._read([self._run(batch, 0)])
+        else:
+            batch = self._read([self._write(batch, "batch")])
+            fresh = self._read([self._run(self.unseen(batch), 0)])
+            known = batch.join(fresh.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            self.tallies.append(self._write(known, "tally"))
+        if len(self.tallies) >= self.fanout:
+            self.tallies = [self._write(self.merged(self._read(self.tallies)), "tally")]
         k = 0
         while k < len(self.levels):
             if len(self.levels[k]) >= self.fanout:
                 group, self.levels[k] = self.levels[k], []
-                self._write(self.merged(self._read(group)), k + 1)
+                self._run(self._read(group), k + 1)
             k += 1
         return fresh
 
 
-def drop_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def _batch(ids: pa.Array, texts: list[bytes], lost) -> pa.RecordBatch:
+    """lost: gets the lines of all texts (owner, h1, h2 of those long enough) and says which go."""
+    owner, place, a, b = [], [], [], []
+    split = [t.split(b"\n") for t in texts]
+    for k, own in enumerate(split):
+        for i, line in enumerate(own):
+            if h := line_hash(line, lost.min_chars):
+                owner.append(k)
+                place.append(i)
+                a.append(h[0])
+                b.append(h[1])
+    gone: dict[int, set[int]] = {}
+    if owner:
+        for j in np.flatnonzero(lost(np.array(owner), np.array(a), np.array(b))).tolist():
+            gone.setdefault(owner[j], set()).add(place[j])
+    kept = [b"\n".join(x for i, x in enumerate(own) if i not in gone[k]) if k in gone else texts[k] for k, own in enumerate(split)]
+    n = [pa.array([f(k) for k in range(len(texts))], pa.int64()) for f in (lambda k: len(split[k]), lambda k: len(gone.get(k, ())))]
+    return pa.RecordBatch.from_arrays([ids, *n, pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+
+
+KEPT = "doc_id long, n_lines long, n_dropped long, kept string"
+
+
+class _Common:
+    """Which lines go, by a table of common lines that is sorted by h1."""
+
+    def __init__(self, table, ids: pa.Array, min_chars: int):
+        self.table, self.ids, self.min_chars = table, ids, min_chars
+
+    def __call__(self, owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h1, h2, last = self.table
+        if not len(h1):
+            return np.zeros(len(a), bool)
+        at = np.minimum(np.searchsorted(h1, a), len(h1) - 1)
+        null = self.ids.is_null().to_numpy(zero_copy_only=False)[owner]
+        own = self.ids.fill_null(0).to_numpy()[owner]
+        return (h1[at] == a) & (h2[at] == b) & (null | (own < last[at]))
+
+
+class _Listed:
+    """Which lines go, by each document's own list."""
+
+    def __init__(self, lists: list, min_chars: int):
+        self.sets, self.min_chars = [set(zip(*x)) if x[0] else () for x in lists], min_chars
+
+    def __call__(self, owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.array([(x, y) in self.sets[k] for k, x, y in zip(owner.tolist(), a.tolist(), b.tolist())])
+
+
+def drop_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, common_rows: int = COMMON_ROWS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept) of each row of docs."""
     spark = docs.sparkSession
     rows = pick(docs, doc_id="doc_id", text="text")
@@ -127,27 +188,15 @@ def drop_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     store = LineStore(spark)
     for k in range(batches):
         store.add(found.where(F.col("batch") == k).select("doc_id", "h1", "h2"))
-    common = written(store.rows().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last"), "common_lines")
-    gone = found.join(common, ["h1", "h2"]).where("last is not null and (doc_id is null or doc_id < last)")
+    common = written(store.rows().where((F.col("n_docs") >= min_docs) & F.col("last").isNotNull()).select("h1", "h2", "last"), "common_lines")
+    if common.count() <= common_rows and not common.groupBy("h1").count().where("count > 1").limit(1).count():
+        t = common.toPandas().sort_values("h1")  # at most common_rows rows
+        shared = spark.sparkContext.broadcast(tuple(t[c].to_numpy(np.int64) for c in ("h1", "h2", "last")))
+        return map_batches(rows, lambda b: _batch(b.column(0), encoded(b.column(1)), _Common(shared.value, b.column(0), min_chars)), KEPT)
+    gone = found.join(common, ["h1", "h2"]).where("doc_id is null or doc_id < last")
     gone = gone.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
     both = rows.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(gone, "_id", "left").select("doc_id", "text", F.col("gone.h1").alias("g1"), F.col("gone.h2").alias("g2"))
-
-    def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        n_lines, n_dropped, kept = [], [], []
-        for text, g1, g2 in zip(encoded(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            n_lines.append(text.count(b"\n") + 1)
-            if g1:
-                drop = set(zip(g1, g2))
-                lines = text.split(b"\n")
-                text = [x for x in lines if line_hash(x, min_chars) not in drop]
-                n_dropped.append(len(lines) - len(text))
-                text = b"\n".join(text)
-            else:
-                n_dropped.append(0)
-            kept.append(text)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
-
-    return map_batches(both, each, "doc_id long, n_lines long, n_dropped long, kept string")
+    return map_batches(both, lambda b: _batch(b.column(0), encoded(b.column(1)), _Listed(list(zip(b.column(2).to_pylist(), b.column(3).to_pylist())), min_chars)), KEPT)
 
 
 def digest(docs: DataFrame) -> DataFrame:
