@@ -1,26 +1,23 @@
 """Mixing a corpus to target weights with soft domains.
 
-A logistic classifier on hashed words (one domain against the rest), fitted on a labelled table, gives each
-document a posterior for each domain. A document's rate x >= 0 says how often it
-is to be used; the expected tokens of domain d are sum(x * tokens * p[d]). The
-rates minimise the squared distance of these totals (as shares of all tokens) to
-the targets, plus PULL times the rarest domain's share times the mean of (x - 1)^2
-over all tokens. Without this small pull the optimum isn't unique, and where
-no text is free of an unwanted domain it is the purest few texts, used without end. The
-optimum has x = max(0, 1 - p . v) for one vector v with a number a domain, found by Newton
-steps on the dual until each domain's sum is met to TOLERANCE of what it holds at the start; an
-iteration is one pass over a narrow table and a sum of a few numbers: no
-shuffle, and only these sums reach the driver.
-
-Edge cases: null or empty texts have no tokens, the prior as posterior and a rate
-like others; repeated rows are rated each; unknown or null labels don't count;
-without labels the posterior is uniform; a target for a domain without documents
-can't be met and is left; an optimum that isn't reached in STEPS passes is an error; extra columns pass through; an empty table gives an
-empty result.
+A logistic classifier on hashed words, marks and a few measures of the text (one domain against the rest), fitted on a labelled
+table, gives each document a posterior for each domain. A document's rate x >= 0 says how often it
+is to be used; the expected tokens of domain d are sum(x * tokens * p[d]), and its target is a share of what the domain holds
+at rate 1. The rates are fitted by projected gradient steps on the squared distance to the targets, from rate 1: each step moves
+every rate along the gradient, scaled by the second moments of the posteriors among documents in use, and puts negative rates to 0.
+A step is one pass over a narrow table and a sum of a few numbers: no shuffle, only the sums reach the
+driver, and a pass replays the steps before it, of a few numbers each. Steps go on until each target is met to TOLERANCE of what its domain
+holds (converged), or nothing moves any more or STEPS are done, with a warning; gap is what is left, as a share.
+
+Edge cases: null or empty texts have no tokens, and a posterior and a rate like others; repeated rows are rated each; texts of equal
+posteriors have equal rates; unknown or null labels don't count; without labels of two domains all rates are 1 where
+targets allow; a target for a domain without documents is left out; extra columns, also of clashing names, pass through; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,29 +25,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, encoded, map_batches, pick, written
+from tidemark.llm.common import Words, encoded, map_batches
+from tidemark.llm.common import mix as mixed_hash
+from tidemark.llm.common import numbered, pick, place_of, written
 from tidemark.llm.quality import logistic
 
 BITS = 18
-#: Weights of the corpus: toxic text gets none, the rest keeps its share.
-TARGETS = {"clean": 1.0, "toxic": 0.0}
-#: The classifier's words: so many at most, whose share in a domain is at least so many deviations off.
-MOST_WORDS, LEAST_Z = 400, 4.0
-PULL = 0.01
-STEPS = 60
-TOLERANCE = 1e-6
+#: Of each domain, the share of its tokens that the mix is to hold.
+TARGETS = {"clean": 1.0, "junk": 0.25, "toxic": 0.1}
+#: The classifier's features: so many at most, whose share in a domain is at least so many deviations off.
+MOST_FEATURES, LEAST_Z = 400, 4.0
+STEPS = 40
+TOLERANCE = 1e-3
+#: Rates this close to a whole number are rounded when they are realised.
+SNAP = 0.25
+MARKS = bytes(b if chr(b).isprintable() and b < 127 and not chr(b).isalnum() else 32 for b in range(256))
+CAPITALS = bytes(b if 65 <= b <= 90 else 32 for b in range(256))
 
 
 @dataclass(frozen=True)
 class DomainModel:
     domains: tuple[str, ...]
-    weights: np.ndarray  # (2 ** BITS, domains): weight of each hashed word
+    weights: np.ndarray  # (2 ** BITS, domains): weight of each feature
     prior: np.ndarray
 
 
-def _features(texts: list[bytes]):
-    words = Words(texts)
-    return words, (words.hashes() >> np.uint64(64 - BITS)).astype(np.int64)
+def _features(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """(words, and pairs of a text and a feature, once each): hashed words, hashed runs of marks, and eighths of the shares of
+    words in capitals, of words that are distinct, and of runs of marks."""
+    words, marks, capitals = Words(texts), Words(texts, MARKS), Words(texts, CAPITALS)
+    h, n = words.hashes(), np.maximum(1, np.diff(words.first))
+    place = lambda x: (x >> np.uint64(64 - BITS)).astype(np.int64)
+    _, distinct = np.unique(mixed_hash(h + words.doc.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), return_index=True)
+    counts = [capitals.doc[capitals.end - capitals.start >= 4], words.doc[distinct], marks.doc[marks.end - marks.start >= 2]]
+    shares = [np.minimum(8, 8 * np.bincount(d, minlength=len(texts)) // n) for d in counts]
+    doc = np.concatenate([words.doc, marks.doc, *[np.arange(len(texts))] * 3])
+    f = np.concatenate([place(h), place(marks.hashes() * np.uint64(0x9E3779B97F4A7C15)), *[(1 << BITS) - 1 - 16 * k - x for k, x in enumerate(shares)]])
+    pair = np.unique(doc * (1 << BITS) + f)
+    return words, pair >> BITS, pair & ((1 << BITS) - 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], per_domain: int = 1500, max_chars: int = 20_000) -> DomainModel:
@@ -62,23 +74,26 @@ def fit(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], per_domain
     present = np.zeros((1 << BITS, len(domains)))
     n = np.zeros(len(domains))
     pairs, own_domain = [], []
+    part = [own.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain) for d in domains]
+    chosen = part[0]
+    for more in part[1:]:
+        chosen = chosen.unionByName(more)
+    texts = pick(docs, doc_id="doc_id", text="text").where(F.length("text").between(1, max_chars)).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("domain", "doc_id").agg(F.min("text").alias("text")).orderBy("domain", "doc_id").collect()  # repeated rows once
     for k, d in enumerate(domains):
-        part = own.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain)
-        texts = pick(docs, doc_id="doc_id", text="text").where(F.length("text").between(1, max_chars))
-        got = [r.text.encode() for r in texts.join(F.broadcast(part), "doc_id").select("text").collect()]
-        words, f = _features(got)
-        pair = np.unique(words.doc * (1 << BITS) + f)
-        np.add.at(present[:, k], pair & ((1 << BITS) - 1), 1)
-        pairs.append((pair >> BITS) + int(n.sum()))
+        got = [r.text.encode() for r in texts if r.domain == d]
+        _, doc, f = _features(got)
+        np.add.at(present[:, k], f, 1)
+        pairs += [doc + int(n.sum()), f]
         own_domain += [k] * len(got)
-        pairs.append(pair & ((1 << BITS) - 1))
         n[k] = len(got)
     weights, bias = np.zeros((1 << BITS, len(domains))), np.log(prior / prior.sum())
+    bias[[d not in known for d in domains]] = -30.0 if known else 0.0
     if (n > 0).sum() < 2:
         return DomainModel(domains, weights, bias)
     pooled = present.sum(1, keepdims=True) / n.sum()
     z = (np.abs(present - n * pooled) / np.sqrt(n * pooled * (1 - pooled) + 0.5)).max(1)
-    chosen = np.argsort(-z, kind="stable")[:MOST_WORDS]
+    chosen = np.argsort(-z, kind="stable")[:MOST_FEATURES]
     chosen = chosen[z[chosen] >= LEAST_Z]
     column = np.full(1 << BITS, -1)
     column[chosen] = np.arange(len(chosen))
@@ -89,109 +104,126 @@ def fit(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], per_domain
     y = np.array(own_domain)
     share = (n + 1e-9) / n.sum()
     w = (prior / prior.sum() / share)[y]  # the sample's domains count as in the labels
-    for k in range(len(domains)):
+    for k in np.flatnonzero(n):
         beta = logistic(x, (y == k).astype(float), w)
         weights[chosen, k], bias[k] = beta[:-1], beta[-1]
     return DomainModel(domains, weights, bias)
 
 
 def posteriors(texts: list[bytes], model: DomainModel) -> tuple[np.ndarray, np.ndarray]:
-    """(posteriors, word counts); a word counts once a text."""
-    words, f = _features(texts)
-    seen = np.unique(words.doc * (1 << BITS) + f)
+    """(posteriors, word counts); a feature counts once a text."""
+    words, doc, f = _features(texts)
     s = np.tile(model.prior, (len(texts), 1))
-    w = model.weights[seen & ((1 << BITS) - 1)]
-    np.add.at(s, seen >> BITS, w)
+    w = model.weights[f]
+    np.add.at(s, doc[(used := w.any(axis=1))], w[used])
     p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
     return p / p.sum(1, keepdims=True), np.diff(words.first)
 
 
-def _rates(p: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.maximum(0.0, 1 - p @ v)
-
-
-def _optimum(totals, weights: np.ndarray) -> np.ndarray:
-    """The vector of the best rates. totals(v): expected tokens of domains and of pairs of domains, and tokens by squared rate."""
-    v = np.zeros(len(weights))
-    own, gram, squares = totals(v)
-    if not own.sum() > 0:
-        return v
-    goal = np.where(weights > 0, own, 0).sum() * weights / max(weights.sum(), 1e-12)
-    ridge = PULL * own[own > 0].min()
-
-    def dual(v: np.ndarray, squares: float) -> float:
-        return squares / 2 + goal @ v + ridge * (v @ v) / 2
-
-    now, passes = own, 1
-    while True:
-        gap = now - goal - ridge * v
-        if (np.abs(gap) <= TOLERANCE * own).all():
-            return v
-        step = np.linalg.solve(gram + ridge * np.eye(len(v)), gap)
-        size, here = 1.0, dual(v, squares)
-        while True:  # halved until the dual falls enough
-            if passes >= STEPS:
-                raise RuntimeError(f"mixing: not at the optimum after {STEPS} passes; off by {(np.abs(gap) / np.maximum(own, 1e-300)).max():.2g} of a domain's tokens")
-            passes += 1
-            now, gram, squares = totals(v + size * step)
-            if dual(v + size * step, squares) <= here - 1e-4 * size * (gap @ step) + 1e-12 * abs(here):
-                break
+def replayed(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """Rates of documents of these posteriors after projected steps."""
+    x = np.ones(len(p))
+    for u in steps:
+        x = np.maximum(0.0, x - p @ u)
+    return x
+
+
+def solve(totals, shares: np.ndarray) -> tuple[list[np.ndarray], float, bool]:
+    """(steps, largest gap, converged). totals(steps): expected tokens of the domains, and second moments of the posteriors by
+    tokens in use, after these steps; shares: the targets as shares of the totals at rate 1."""
+    own, gram = totals([])
+    known = own > 1e-9 * own.sum()
+    goal, scale = shares * own, np.maximum(own, 1e-300)
+
+    def gap(now: np.ndarray) -> float:
+        return float((np.abs(now - goal) / scale)[known].max(initial=0.0))
+
+    steps, now, size = [], own, 1.0
+    for _ in range(STEPS):
+        if gap(now) <= TOLERANCE:
+            return steps, gap(now), True
+        u = np.linalg.solve(gram + 1e-9 * max(own.sum(), 1e-300) * np.eye(len(own)), now - goal)
+        new, new_gram = totals([*steps, size * u])
+        r, s = now - goal, new - goal
+        if (s / scale)[known] @ (s / scale)[known] < (r / scale)[known] @ (r / scale)[known]:
+            steps, now, gram, size = [*steps, size * u], new, new_gram, min(1.0, 2 * size)
+        else:
             size /= 2
-        v = v + size * step
+            if size < 1e-3:
+                break
+    return steps, gap(now), gap(now) <= TOLERANCE
 
 
 def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float]) -> DataFrame:
-    """(key, doc_id, n_tokens, posterior, rate) of each row of docs; key is a hash of the text. The targets are
-    weights; the total to reach is what the domains with a positive weight hold now."""
+    """(key, doc_id, n_tokens, posterior, rate, gap, converged) of each row of docs; key is a hash of the text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 2 ** BITS rows
+    k = len(model.domains)
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         p, n = posteriors(encoded(b.column(1)), shared.value)
-        arr = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+        arr = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * k, pa.int32()), pa.array(p.ravel()))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n.astype(np.int64)), arr], names=["doc_id", "key", "n_tokens", "posterior"])
 
     rows = pick(docs, doc_id="doc_id", text="text").select("doc_id", "text", F.xxhash64("text").alias("key"))
     soft = written(map_batches(rows, each, "doc_id long, key long, n_tokens long, posterior array<double>"), "posteriors")
-    k = len(model.domains)
-
-    def totals(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Expected tokens of each domain, of each pair of domains, and the tokens by squared rate, under the rates of this vector."""
 
+    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         def some(b: pa.RecordBatch) -> pa.RecordBatch:
             p = np.array(b.column(1).values.to_numpy()).reshape(-1, k)
             n = b.column(0).to_numpy().astype(float)
-            x = _rates(p, at)
-            v = np.concatenate(((x * n) @ p, ((n * (x > 0))[:, None] * p).T.dot(p).ravel(), [(n * x * x).sum()]))
+            x = replayed(p, steps)
+            v = np.concatenate(((x * n) @ p, ((n * (x > 0))[:, None] * p).T.dot(p).ravel()))
             return pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["i", "v"])
 
         got = map_batches(soft.select("n_tokens", "posterior"), some, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        v = np.zeros(k + k * k + 1)
+        v = np.zeros(k + k * k)
         for r in got:
             v[r.i] = r.v
-        return v[:k], v[k:-1].reshape(k, k), float(v[-1])
+        return v[:k], v[k:].reshape(k, k)
 
-    weights = np.array([max(0.0, targets.get(d, 0.0)) for d in model.domains])
-    best = _optimum(totals, weights)
+    steps, gap, converged = solve(totals, np.array([max(0.0, targets.get(d, 1.0)) for d in model.domains]))
+    if not converged:
+        warnings.warn(f"mixing: a target is missed by {gap:.2g} of its domain's tokens", stacklevel=2)
 
     def rated(b: pa.RecordBatch) -> pa.RecordBatch:
         p = np.array(b.column(3).values.to_numpy()).reshape(-1, k)
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(_rates(p, best))], names=["doc_id", "key", "n_tokens", "posterior", "rate"])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(replayed(p, steps))], names=["doc_id", "key", "n_tokens", "posterior", "rate"])
 
-    return map_batches(soft, rated, "doc_id long, key long, n_tokens long, posterior array<double>, rate double")
+    out = map_batches(soft, rated, "doc_id long, key long, n_tokens long, posterior array<double>, rate double")
+    return out.withColumns({"gap": F.lit(gap), "converged": F.lit(converged)})
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
-    return pick(labels, doc_id="doc_id", toxic="toxic").where("toxic in (0, 1)").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("domain"))
+    """Toxic text, else junk by its quality, else clean."""
+    known = pick(labels, doc_id="doc_id", quality="quality", toxic="toxic").where("toxic in (0, 1) or quality = 0")
+    return known.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").otherwise("clean").alias("domain"))
 
 
-def rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = fit(docs, domains_of(labels), tuple(sorted(TARGETS)))
-    return mix(docs, model, TARGETS).select("doc_id", "n_tokens", F.col("posterior")[0].alias("p_clean"), F.col("posterior")[1].alias("p_toxic"), "rate")
+def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return mix(docs, fit(docs, domains_of(labels), tuple(sorted(TARGETS))), TARGETS)
 
 
-def thinned(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose rate rounds to a use, with docs' columns."""
-    model = fit(docs, domains_of(labels), tuple(sorted(TARGETS)))
-    gone = mix(docs, model, TARGETS).where(F.col("rate") < least).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti").select(*docs.columns)
+def rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    own = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
+    return mixed(docs, labels).select("doc_id", "n_tokens", *own, "rate", "gap", "converged")
+
+
+def copies(rate, key):
+    """How often a text of this rate is used: rates within SNAP of a whole number are rounded, others go up or down by a hash, so
+    that they are met in the mean."""
+    part = rate - F.floor(rate)
+    u = F.shiftrightunsigned(F.xxhash64(key, F.lit(11)), 11) / float(1 << 53)
+    return F.when(part <= SNAP, F.floor(rate)).when(part >= 1 - SNAP, F.ceil(rate)).otherwise(F.floor(rate) + (u < part).cast("long")).cast("int")
+
+
+def realised(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs as often as their rates say, with docs' columns. A row is found again by its doc_id and text, and equal
+    ones have equal rates; rows of one use, nearly all, are passed on without a table of them."""
+    use = mixed(docs, labels).select(F.col("doc_id").alias("use_id"), F.col("key").alias("use_key"), copies(F.col("rate"), "key").alias("use")).where("use <> 1").distinct()
+    inner = numbered(docs)
+    d, t = (F.col(f"_{place_of(docs, c)}") for c in ("doc_id", "text"))
+    found = inner.join(use, d.eqNullSafe(F.col("use_id")) & F.xxhash64(t).eqNullSafe(F.col("use_key")), "left")
+    often = F.coalesce("use", F.lit(1))
+    out = found.where(often > 0).withColumn("use", F.explode(F.when(often > 1, F.sequence(F.lit(1), often)).otherwise(F.array(F.lit(1)))))
+    return out.select(*inner.columns).toDF(*docs.columns)
