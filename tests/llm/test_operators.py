@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, licenses, lines, mixing, neighbours, quality, simhash
 
@@ -50,7 +51,37 @@ def test_line_store_compacts(spark):
         fresh = store.add(spark.createDataFrame([(k, 1, 1), (k, 10 + k, 1)], "doc_id long, h1 long, h2 long")).count()
         assert fresh == (2 if k == 0 else 1)
     assert all(len(x) < 2 for x in store.levels)
-    assert {(r.h1, r.n_docs) for r in store.rows().collect()} >= {(1, 5), (12, 1)}
+    assert {(r.h1, r.n_docs, r.last) for r in store.rows().collect()} == {(1, 5, 4)} | {(10 + k, 1, k) for k in range(5)}
+
+
+def test_line_dedup_goes_through_the_anti_join(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pool = [f"line number {i} that is long enough to be counted here" for i in range(30)]
+    rows = [(i, "\n".join([pool[j] for j in rng.integers(0, 30, 4)] + [f"own {i}", ""]), "en") for i in range(60)]
+    rows += [(None, pool[0], "en"), (None, "\n".join(pool[:3]), "en"), (7, rows[7][1], "en"), (1000, pool[1] + "\nx" * 100_000, "en")]
+    plans, unseen = [], lines.LineStore.unseen
+
+    def kept(self, hashes):
+        out = unseen(self, hashes)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(lines.LineStore, "unseen", kept)
+    ids = {}
+    for d, t, _ in rows:
+        for x in {x.strip().lower() for x in t.split("\n") if len(x) >= 40}:
+            ids.setdefault(x, set()).add(-1 if d is None else d)
+    want = sorted((str(d), "\n".join(x for x in t.split("\n") if not (len(s := ids.get(x.strip().lower(), ())) >= 5 and (d is None or d < max(s))))) for d, t, _ in rows)
+    for common in (lines.COMMON_ROWS, 0):  # broadcast, and joined by id
+        got = lines.drop_repeats(docs(spark, rows), batches=7, common_rows=common).collect()
+        assert sorted((str(r.doc_id), r.kept) for r in got) == want and all(r.n_lines - r.n_dropped == len(r.kept.split("\n")) or not r.kept for r in got)
+    assert len(plans) >= 12 and all("SortMergeJoin" in p and "LeftAnti" in p for p in plans)
+
+
+def test_overlapping_and_single_phrases(spark):
+    d = docs(spark, [(1, "a a A", "en"), (2, "b", "en"), (3, None, "en")])
+    got = {r.doc_id: (r.n_base, r.first_word, r.last_word) for r in licenses.scan(d, phrases={"a a": "twice"}).collect()}
+    assert got == {1: (2, 0, 1), 2: (0, None, None), 3: (0, None, None)}
 
 
 def test_licenses(spark):
@@ -85,40 +116,39 @@ def test_language_and_quality_and_mixing(spark):
     labels = spark.createDataFrame([(i, i % 2, int(i % 2 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
     q = quality.classify(d, labels).collect()
     assert len(q) == len(rows) and all(0 <= r.score <= 1 for r in q)
-    r = {x.doc_id: x.rate for x in mixing.rates(d, labels).collect()}
-    assert all((r[i] < 0.5) == (i % 2 == 0) for i in range(40)) and len(r) == len(rows)
-
-
-def test_mixing_removes_a_rare_domain(spark):
-    weights = np.zeros((1 << mixing.BITS, 2))
-    weights[mixing._features([b"bad"])[1][0]] = (-12, 12)
-    model = mixing.DomainModel(("clean", "toxic"), weights, np.array([6.0, -6.0]))
-    for every in (100, 500):
-        rows = [(i, "bad words here" if i % every == 0 else "some words here", "en") for i in range(1000)]
-        got = mixing.mix(docs(spark, rows), model, mixing.TARGETS).collect()
-        assert len(got) == len(rows)
-        assert all(r.rate < 0.05 if r.doc_id % every == 0 else 0.6 < r.rate < 1.1 for r in got)
-
+    r = {x.doc_id: x for x in mixing.rates(d, labels).collect()}
+    assert all((r[i].rate < 0.5) == (i % 2 == 0) for i in range(40)) and len(r) == len(rows) and r[0].gap < 0.3
 
-def test_mixing_is_optimal_or_fails(monkeypatch):
-    import pytest
 
+def test_rates_meet_reachable_targets_as_a_dense_solver_does(spark):
     rng = np.random.default_rng(3)
-    p = rng.beta(0.3, 20, 500)
-    p = np.stack([1 - p, p], 1)
+    p = rng.dirichlet([8, 0.3, 0.2], 500)
     n = rng.integers(1, 100, 500).astype(float)
 
-    def totals(v):
-        x = mixing._rates(p, v)
-        return (x * n) @ p, (p * (n * (x > 0))[:, None]).T @ p, float((n * x * x).sum())
-
-    x = mixing._rates(p, mixing._optimum(totals, np.array([1.0, 0.0])))
-    own, total = n @ p, n.sum()
-    down = ((x * n) @ p - np.array([own[0], 0])) @ p.T / total + mixing.PULL * own.min() / total * (x - 1)  # the gradient a token
-    assert np.abs(down[x > 0]).max() < 1e-6 and down.min() > -1e-6 and (x == 0).any()
-    monkeypatch.setattr(mixing, "STEPS", 2)
-    with pytest.raises(RuntimeError):
-        mixing._optimum(totals, np.array([1.0, 0.0]))
+    def totals(steps):
+        x = mixing.replayed(p, steps)
+        return (x * n) @ p, (p * (n * (x > 0))[:, None]).T @ p
+
+    own = n @ p
+    shares = np.array([1.0, 0.25, 0.1])
+    steps, gap, converged = mixing.solve(totals, shares)
+    x = mixing.replayed(p, steps)
+    assert converged and gap <= mixing.TOLERANCE and np.abs((x * n) @ p / own - shares).max() <= 1e-3 and x.min() >= 0
+    y, a = np.ones(500), (p * n[:, None]) / own  # a dense solver: many plain projected steps on the same squares
+    for _ in range(50_000):
+        y = np.maximum(0, y - a @ (y @ a - shares) / np.linalg.norm(a, 2) ** 2)
+    assert np.abs(y @ a - shares).max() <= 1e-3
+    p[:] = 0.7 * p + 0.1  # no text is free of any domain
+    missed = mixing.solve(totals, np.array([1.0, 0.0, 0.0]))
+    assert not missed[2] and 0 < missed[1] < 1
+
+
+def test_copies_meet_the_rates(spark):
+    rates = [0.0, 0.2, 0.5, 0.8, 1.0, 1.1, 1.4, 2.9]
+    d = spark.range(4000).selectExpr("id % 8 as k", "id as key")
+    d = d.select("k", mixing.copies(F.element_at(F.array(*map(F.lit, rates)), (F.col("k") + 1).cast("int")), "key").alias("n"))
+    got = {r.k: r.m for r in d.groupBy("k").agg(F.avg("n").alias("m")).collect()}
+    assert [got[k] for k in (0, 1, 3, 4, 5, 7)] == [0, 0, 1, 1, 1, 3] and abs(got[2] - 0.5) < 0.07 and abs(got[6] - 1.4) < 0.07
 
 
 def test_simhash_against_brute_force(spark):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_TABLE, Words, encoded, grams, map_batches, mix, pick, written
+from tidemark.llm.common import WORD_TABLE, Words, encoded, grams, map_batches, mix, pick, without, written
 
 WINDOW = 10
 GRAM = 5
@@ -83,16 +83,17 @@ def pieces(text: bytes, overlap: int, size: int = PIECE) -> Iterator[tuple[bytes
     start = offset = 0
     while True:
         cut = text.find(b" ", start + size) if start + size < len(text) else -1
+        while cut >= 0 and len(text[start:cut].split(None, overlap)) <= overlap:  # too few words to go on from
+            cut = text.find(b" ", cut + size) if cut + size < len(text) else -1
         part = text[start:] if cut < 0 else text[start:cut]
         yield part, offset
         if cut < 0:
             return
         n = len(part.split())
-        back = min(overlap, n)
         tail = len(part)
-        for word in reversed(part.rsplit(None, back)[-back:] if back else []):  # walk back over the overlap
+        for word in reversed(part.rsplit(None, overlap)[-overlap:] if overlap else []):  # walk back over the overlap
             tail = part.rindex(word, 0, tail)
-        start, offset = start + tail, offset + n - back
+        start, offset = start + tail, offset + n - overlap
 
 
 def item_fingerprints(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -101,12 +102,13 @@ def item_fingerprints(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], []]
         for item, text in zip(b.column(0).to_pylist(), encoded(b.column(1))):
+            text = b" ".join(text.translate(WORD_TABLE).split())
+            level = level_of(text.count(b" ") + 1, window) if text else 0
             for part, _ in pieces(text, window - 1):
                 words = Words([part])
                 n = len(words.start)
-                if not n:
+                if n < max(1, level):
                     continue
-                level = level_of(n, window)
                 at, h = fingerprints(words, words.hashes(), level)
                 for p, x in zip(at.tolist(), h.view(np.int64).tolist()):
                     a = max(0, p - (level - gram_of(level)))
@@ -223,6 +225,4 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a word of a benchmark window, with docs' columns."""
-    bad = report(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(bad, on, "left_anti").select(*docs.columns)
+    return without(docs, report(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")))

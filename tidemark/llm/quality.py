@@ -12,7 +12,7 @@ Edge cases: a null text counts as empty; empty texts have difference 0 and
 ratio 1 and get a score like any other; texts of any length are scored whole,
 block by block; repeated rows are scored one by one; extra columns pass
 through; an empty table gives an empty result. Without a label of both classes
-the score is the share of good labels (0.5 without any).
+the score is the share of good labels (0.5 without any). A row without doc_id isn't held out.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import crc_of_id, encoded, limit_batches, pick
+from tidemark.llm.common import crc_of_id, encoded, limit_batches, numbered, pick, place_of
 
 #: Share of blocks kept for fitting the calibration instead of the dictionaries.
 CALIBRATION_FOLDS = 3
@@ -97,8 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: in
         part = own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = pick(docs, doc_id="doc_id", text="text").where(F.length("text").between(1, max_chars))
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").toPandas()  # at most 2 * per_class rows
-    got = got.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # repeated rows once
+    got = got.toPandas().sort_values("doc_id")  # at most 2 * per_class rows
     by = {q: [t.encode() for t in got.text[got.quality == q]] for q in (0, 1)}
     if min(len(by[0]), len(by[1])) < 8:
         return QualityModel(b"", b"", (), prior)
@@ -149,17 +149,17 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "
 
 def training_rows(labels: DataFrame, fold: int = 0, folds: int = 5) -> DataFrame:
     """Labels of all documents but the held-out fold."""
-    return labels.where(F.pmod(crc_of_id("doc_id"), F.lit(folds)) != fold)
+    return pick(labels, doc_id="doc_id", quality="quality").where(F.pmod(crc_of_id("doc_id"), F.lit(folds)) != fold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
     model = fit(docs, training_rows(labels))
     got = score(pick(docs, doc_id="doc_id", text="text"), model)
-    return got.select("doc_id", (F.pmod(crc_of_id("doc_id"), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return got.select("doc_id", F.coalesce(F.pmod(crc_of_id("doc_id"), F.lit(5)) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with docs' columns."""
     model = fit(docs, training_rows(labels))
-    return score(docs, model, out="_quality").where(F.col("_quality") >= threshold).drop("_quality")
+    return score(numbered(docs), model, f"_{place_of(docs, 'text')}").where(F.col("score") >= threshold).drop("score").toDF(*docs.columns)
