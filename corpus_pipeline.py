@@ -21,7 +21,7 @@ def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.thinned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.realised(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
