@@ -131,7 +131,7 @@ def test_rates_meet_reachable_targets_as_a_dense_solver_does(spark):
 
     own = n @ p
     shares = np.array([1.0, 0.25, 0.1])
-    steps, gap, converged = mixing.solve(totals, shares)
+    steps, gap, converged = mixing.solve(totals, shares * own)
     x = mixing.replayed(p, steps)
     assert converged and gap <= mixing.TOLERANCE and np.abs((x * n) @ p / own - shares).max() <= 1e-3 and x.min() >= 0
     y, a = np.ones(500), (p * n[:, None]) / own  # a dense solver: many plain projected steps on the same squares
@@ -139,7 +139,7 @@ def test_rates_meet_reachable_targets_as_a_dense_solver_does(spark):
         y = np.maximum(0, y - a @ (y @ a - shares) / np.linalg.norm(a, 2) ** 2)
     assert np.abs(y @ a - shares).max() <= 1e-3
     p[:] = 0.7 * p + 0.1  # no text is free of any domain
-    missed = mixing.solve(totals, np.array([1.0, 0.0, 0.0]))
+    missed = mixing.solve(totals, np.array([1.0, 0.0, 0.0]) * own)
     assert not missed[2] and 0 < missed[1] < 1
 
 

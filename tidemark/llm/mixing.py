@@ -2,8 +2,8 @@
 
 A logistic classifier on hashed words, marks and a few measures of the text (one domain against the rest), fitted on a labelled
 table, gives each document a posterior for each domain. A document's rate x >= 0 says how often it
-is to be used; the expected tokens of domain d are sum(x * tokens * p[d]), and its target is a share of what the domain holds
-at rate 1. The rates are fitted by projected gradient steps on the squared distance to the targets, from rate 1: each step moves
+is to be used; the expected tokens of domain d are sum(x * tokens * p[d]). At rate 1, part of them is in documents that are mostly d's, part in others;
+the target is a share of the first part and all of the second, so that it can be reached without the documents of other domains. The rates are fitted by projected gradient steps on the squared distance to the targets, from rate 1: each step moves
 every rate along the gradient, scaled by the second moments of the posteriors among documents in use, and puts negative rates to 0.
 A step is one pass over a narrow table and a sum of a few numbers: no shuffle, only the sums reach the
 driver, and a pass replays the steps before it, of a few numbers each. Steps go on until each target is met to TOLERANCE of what its domain
@@ -31,7 +31,7 @@ from tidemark.llm.common import numbered, pick, place_of, written
 from tidemark.llm.quality import logistic
 
 BITS = 18
-#: Of each domain, the share of its tokens that the mix is to hold.
+#: Of each domain, the share of its tokens, in documents mostly its own, that the mix is to hold.
 TARGETS = {"clean": 1.0, "junk": 0.25, "toxic": 0.1}
 #: The classifier's features: so many at most, whose share in a domain is at least so many deviations off.
 MOST_FEATURES, LEAST_Z = 400, 4.0
@@ -69,6 +69,8 @@ def fit(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], per_domain
     """labels(doc_id, domain). Of each domain at most per_domain documents, the smallest by hash, without texts over max_chars."""
     own = pick(labels, doc_id="doc_id", domain="domain").where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull())
     own = own.groupBy("doc_id").agg(F.max("domain").alias("domain"))
+    there = pick(docs, doc_id="doc_id").where("doc_id is not null").distinct()  # labels of documents that are gone say nothing
+    own = written(own.join(there, "doc_id", "left_semi"), "labels")
     known = {r.domain: r.n for r in own.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     prior = np.array([known.get(d, 0) + 1.0 for d in domains])
     present = np.zeros((1 << BITS, len(domains)))
@@ -128,12 +130,12 @@ def replayed(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return x
 
 
-def solve(totals, shares: np.ndarray) -> tuple[list[np.ndarray], float, bool]:
+def solve(totals, goal: np.ndarray) -> tuple[list[np.ndarray], float, bool]:
     """(steps, largest gap, converged). totals(steps): expected tokens of the domains, and second moments of the posteriors by
-    tokens in use, after these steps; shares: the targets as shares of the totals at rate 1."""
+    tokens in use, after these steps; goal: the targets."""
     own, gram = totals([])
     known = own > 1e-9 * own.sum()
-    goal, scale = shares * own, np.maximum(own, 1e-300)
+    scale = np.maximum(own, 1e-300)
 
     def gap(now: np.ndarray) -> float:
         return float((np.abs(now - goal) / scale)[known].max(initial=0.0))
@@ -182,7 +184,11 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float]) -> DataF
             v[r.i] = r.v
         return v[:k], v[k:].reshape(k, k)
 
-    steps, gap, converged = solve(totals, np.array([max(0.0, targets.get(d, 1.0)) for d in model.domains]))
+    p, n = F.col("posterior"), F.col("n_tokens")
+    main = F.array_position(p, F.array_max(p)) - 1
+    parts = soft.agg(*[F.sum(F.when((main == i) == own, n * p[i])).alias(f"{own}{i}") for i in range(k) for own in (True, False)]).first()
+    own, other = (np.array([parts[f"{x}{i}"] or 0.0 for i in range(k)]) for x in (True, False))
+    steps, gap, converged = solve(totals, other + own * [max(0.0, targets.get(d, 1.0)) for d in model.domains])
     if not converged:
         warnings.warn(f"mixing: a target is missed by {gap:.2g} of its domain's tokens", stacklevel=2)
 
