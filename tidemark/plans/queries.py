@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest, hmm, joins, signals, voting
 from tidemark.operators import bars as B
 from tidemark.operators.recurrences import recurrent
+from tidemark.plans.registry import BASES, QUERIES, SQL, W, r6
+from tidemark.plans.registry import registered as by_hour
 from tidemark.sources import market
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-BARS = "b as (select event_type as symbol, date_trunc('hour', ts) as bar_ts, arg_min(value, row(ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, row(ts, event_id)) as close, count(*) as volume from events group by 1, 2)"
-
-
-def ntz(df: DataFrame) -> DataFrame:
-    """Times without a zone, as the tables hold them."""
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
+HOUR = BASES["hour"]
 
 
 def registered(sql: str):
-    def keep(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: ntz(f(B.bars_from_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))))
-        SQL[f.__name__] = f"with {BARS}{sql}"
-        return f
-
-    return keep
+    return by_hour(sql, "hour")
 
 
-def r6(**columns) -> list:
-    return [F.round(c, 6).alias(n) for n, c in columns.items()]
-
-
-W = "partition by symbol order by bar_ts"
 F20 = f"({W} rows between 19 preceding and current row)"
 
 
@@ -169,7 +153,7 @@ RUNS = SQL["regime_transitions"].split(", t as (")[0]
 SQL_RUNS = f"{RUNS}, c as (select *, case when regime is distinct from lag(regime) over ({W}) then 1 else 0 end as turn from g where regime is not null), j as (select *, sum(turn) over ({W}) as run from c), l as (select symbol, regime, run, count(*) as n from j group by all) select symbol, regime, count(*) as n_runs, max(n) as longest, round(avg(n), 6) as mean_length from l group by 1, 2"
 
 
-@registered(SQL_RUNS.split(f"with {BARS}")[1])
+@registered(SQL_RUNS.split(f"with recursive {HOUR}")[1])
 def regime_runs(b):
     d = B.regimes(b).where("regime is not null").select("symbol", "bar_ts", "regime")
     turn = F.when(F.col("regime").eqNullSafe(B.back("regime")), 0).otherwise(1)
@@ -185,3 +169,7 @@ BROKEN = ", ".join(f"case when not coalesce({x}, false) then '{n}' end" for n, x
 def broken_rules(b):
     """Bars by the rule they break; the null rule counts sound bars."""
     return b.select("symbol", F.explode_outer(market.faults()).alias("rule")).groupBy("symbol", "rule").agg(F.count("*").alias("n"))
+
+from tidemark.plans import quality as _quality  # noqa: E402, F401  (registers its queries)
+from tidemark.plans import features as _features  # noqa: E402, F401
+from tidemark.plans import statistics as _statistics  # noqa: E402, F401
