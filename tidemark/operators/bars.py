@@ -14,6 +14,14 @@ def bars_from_ticks(ticks: DataFrame, unit: str = "hour", symbol: str = "event_t
     )
 
 
+def corr(x, y) -> Column:
+    """Pearson's correlation; null where a side doesn't vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    whole = x.isNotNull() & y.isNotNull()
+    x, y = F.when(whole, x), F.when(whole, y)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def by_symbol():
     return Window.partitionBy("symbol").orderBy("bar_ts")
 

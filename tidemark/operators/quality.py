@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.bars import back
+from tidemark.operators.bars import back, corr
 
 NUMERIC = ("open", "high", "low", "close", "volume")
 
@@ -143,7 +143,7 @@ def moments(df: DataFrame, columns=NUMERIC) -> DataFrame:
 def correlations(df: DataFrame, columns=NUMERIC) -> DataFrame:
     """(a, b, r) of each pair of columns, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    got = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    got = df.agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     return got.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])).alias("x")).select("x.*")
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import corr
+
 #: The coefficients of the usual rational approximation of the error function, and the quantiles of the normal distribution in use.
 ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 ERF_P = 0.3275911
@@ -82,7 +84,7 @@ def signal_quality(rows: DataFrame, keys=("symbol",), signal: str = "signal", ah
     s = F.col(signal)
     return rows.where(s.isNotNull()).groupBy(*keys).agg(
         F.count("*").alias("n"), F.coalesce(F.abs(F.avg(s)) / F.nullif(F.stddev_samp(s), F.lit(0.0)), F.lit(0.0)).alias("noise_ratio"),
-        F.coalesce(F.nanvl(F.corr(s, F.col(ahead)), F.lit(0.0)), F.lit(0.0)).alias("coefficient"), F.avg(F.when(s > 0, s)).alias("mean_long"), F.avg(F.when(s < 0, s)).alias("mean_short"),
+        F.coalesce(corr(s, F.col(ahead)), F.lit(0.0)).alias("coefficient"), F.avg(F.when(s > 0, s)).alias("mean_long"), F.avg(F.when(s < 0, s)).alias("mean_short"),
     )
 
 

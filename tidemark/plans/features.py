@@ -55,7 +55,7 @@ SNAP = f", d as (select distinct * from b), k as (select *, avg(close) over {F20
 
 @registered(SNAP + " select symbol, bar_ts, open, high, low, close, volume, round(sma_20, 6) as sma_20, round(std_20, 6) as std_20, round(momentum, 6) as momentum, round(future_return, 6) as future_return, label, round(case label when 'Buy' then abs(future_return - 0.02) when 'Sell' then abs(future_return + 0.02) when 'Hold' then least(abs(future_return - 0.02), abs(future_return + 0.02)) end, 6) as label_confidence from s")
 def snapshot(b):
-    return T.snapshot(b).select("symbol", "bar_ts", "open", "high", "low", "close", "volume", *r6(sma_20="sma_20", std_20="std_20", momentum="momentum", future_return="future_return"), "label", F.round("label_confidence", 6).alias("label_confidence"))
+    return T.snapshot(b).select("symbol", "bar_ts", "open", "high", "low", "close", "volume", *r6(sma_20="sma_20", std_20="std_20", momentum="momentum", future_return="future_return"), "label", *r6(label_confidence="label_confidence"))
 
 
 @registered(SNAP + ", a as (select count(*) as n, count(label) as n_labelled, count(*) filter (where label = 'Buy') as n_buy, count(*) filter (where label = 'Sell') as n_sell, count(*) filter (where label = 'Hold') as n_hold, min(bar_ts) as first_ts, max(bar_ts) as last_ts from s) select n, n_labelled, n_buy, n_sell, n_hold, first_ts, last_ts, round(n_buy / n_labelled, 6) as share_buy, round(n_sell / n_labelled, 6) as share_sell, round(n_hold / n_labelled, 6) as share_hold, greatest(n_buy, n_sell, n_hold) / n_labelled <= 0.7 as balanced, 'snapshot_h4_' || strftime(first_ts, '%Y%m%d') || '_' || strftime(last_ts, '%Y%m%d') as id from a")
@@ -65,7 +65,7 @@ def snapshot_info(b):
 
 @registered(f", m as (select symbol, bar_ts, row_number() over ({W}) - 1 as bar_index, (lead(close, 4) over ({W}) - close) / nullif(close, 0) as move from b) select symbol, bar_ts, bar_index, round(move, 6) as move, case when move > 0.001 then 1 when move < -0.001 then -1 else 0 end as label from m where move is not null")
 def training_samples(b):
-    return T.training_rows(b).withColumn("move", F.round("move", 6))
+    return T.training_rows(b).withColumn("move", r6(x="move")[0])
 
 
 def _full(x: str, n: int, c: str = "close") -> str:

@@ -14,7 +14,7 @@ MODE = f"{STEP}, c as (select symbol, step, count(*) as n from s where step is n
 
 @registered(f"{LONG} select name, count(*) filter (where value is null) as n_null, round(count(*) filter (where value is null) / count(*), 6) as share, case when count(*) filter (where value is null) / count(*) > 0.05 then 'Fail' when count(*) filter (where value is null) / count(*) > 0.01 then 'Warn' else 'Pass' end as status from v group by name", "dirty")
 def missing_values(b):
-    return Q.missing(b).withColumn("share", F.round("share", 6))
+    return Q.missing(b).withColumn("share", r6(x="share")[0])
 
 
 @registered(" select count(*) as n, (select count(*) from (select distinct * from b)) as n_distinct, count(*) - (select count(*) from (select distinct * from b)) as n_duplicate from b", "dirty")
@@ -34,7 +34,7 @@ def outlier_counts(b):
 
 @registered(f"{STEP} select symbol, count(*) as n, count(*) filter (where step = 0) as n_repeated, count(*) filter (where step > 259200) as n_gap, min(step) as shortest, max(step) as longest, round(avg(step), 6) as mean_step, count(*) filter (where step <> 86400) as n_irregular, count(*) filter (where step <> 86400) = 0 as regular from s group by symbol", "dirty")
 def time_steps(b):
-    return Q.times(b).withColumn("mean_step", F.round("mean_step", 6))
+    return Q.times(b).withColumn("mean_step", r6(x="mean_step")[0])
 
 
 @registered(f"{MODE} select symbol, step from m")
@@ -62,7 +62,7 @@ def repeated_times(b):
 
 @registered(f", d as (select symbol, bar_ts, volume, abs(close / nullif(lag(close) over ({W}), 0) - 1) as move from b), m as (select symbol, median(volume) as median_volume from b group by symbol) select symbol, round(median_volume, 6) as median_volume, count(*) filter (where move > 0.1) as n_jump, count(*) filter (where volume > 2 * median_volume) as n_volume from d join m using (symbol) group by symbol, median_volume")
 def market_anomalies(b):
-    return Q.market_anomalies(b, volume=2.0).withColumn("median_volume", F.round("median_volume", 6))
+    return Q.market_anomalies(b, volume=2.0).withColumn("median_volume", r6(x="median_volume")[0])
 
 
 _sig = f", g as (select close / nullif(lag(close) over ({W}), 0) - 1 as momentum, case when day(bar_ts) % 3 = 0 then close end as sparse_one, 1.0 as same from b)"
@@ -97,7 +97,7 @@ def column_moments(b):
 
 @registered(" " + " union all ".join(f"select '{a}' as a, '{c}' as b, round(corr({a}, {c}), 6) as r from b" for i, a in enumerate(Q.NUMERIC) for c in Q.NUMERIC[i + 1 :]))
 def correlation_matrix(b):
-    return Q.correlations(b).withColumn("r", F.round("r", 6))
+    return Q.correlations(b).withColumn("r", r6(x="r")[0])
 
 
 @registered(f", c as (" + " union all ".join(f"select '{a}' as name, abs(corr({a}, {c})) as r from b" for a in Q.NUMERIC for c in Q.NUMERIC if a != c) + f"){LONG} select name, round(var_samp(value), 6) as variance, round(avg(abs(value)), 6) as mean_size, round(avg((value <> 0)::int), 6) as nonzero, round(top, 6) as top_corr, row_number() over (order by var_samp(value) desc, name) as place from v join (select name, max(r) as top from c group by name) using (name) group by name, top")

@@ -173,3 +173,5 @@ def broken_rules(b):
 from tidemark.plans import quality as _quality  # noqa: E402, F401  (registers its queries)
 from tidemark.plans import features as _features  # noqa: E402, F401
 from tidemark.plans import statistics as _statistics  # noqa: E402, F401
+from tidemark.plans import costs as _costs  # noqa: E402, F401
+from tidemark.plans import trades as _trades  # noqa: E402, F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import bars as B
 from tidemark.operators import quality
 from tidemark.operators import statistics as S
-from tidemark.plans.registry import W, r6, registered
+from tidemark.plans.registry import W, r6, registered, rounded
 
 ROWS = f", g as (select symbol, bar_ts, close / nullif(lag(close) over ({W}), 0) - 1 as move, lead(close) over ({W}) / nullif(close, 0) - 1 as ahead, cast(sign(lead(close, 4) over ({W}) - close) as int) as actual from b), r as (select *, -move / (1 + abs(move)) as signal, case when -move / (1 + abs(move)) > 0.2 then 1 when -move / (1 + abs(move)) < -0.2 then -1 else 0 end as predicted from g where move is not null)"
 
@@ -39,12 +39,12 @@ def signal_quality(b):
 _pct = (25, 50, 75, 95, 99)
 
 
-@registered(ROWS + f", l as (select symbol, list_sort(list(signal)) as x, stddev_pop(signal) as std, min(signal) as low, max(signal) as high from r group by symbol) select symbol, len(x) as n, round(std, 6) as std, round(low, 6) as low, round(high, 6) as high, {', '.join(f'round(x[cast(floor({p} / 100.0::double * (len(x) - 1)) as int) + 1], 6) as p{p}' for p in _pct)} from l")
+@registered(ROWS + f", l as (select symbol, list_sort(list(signal)) as x, stddev_pop(signal) as std, min(signal) as low, max(signal) as high from r group by symbol) select symbol, len(x) as n, round(std, 9) as std, round(low, 9) as low, round(high, 9) as high, {', '.join(f'round(x[cast(floor({p} / 100.0::double * (len(x) - 1)) as int) + 1], 9) + 0 as p{p}' for p in _pct)} from l")
 def signal_distribution(b):
     d = rows(b)
     q = quality.floor_quantiles(d, {f"p{p}": F.floor(F.lit(p / 100) * (F.col("n") - 1)) for p in _pct}, "signal", ("symbol",))
     m = d.groupBy("symbol").agg(F.stddev_pop("signal").alias("std"), F.min("signal").alias("low"), F.max("signal").alias("high"))
-    return q.join(m, "symbol").select("symbol", "n", *r6(std="std", low="low", high="high", **{f"p{p}": f"p{p}" for p in _pct}))
+    return q.join(m, "symbol").select("symbol", "n", *rounded(9, std="std", low="low", high="high", **{f"p{p}": f"p{p}" for p in _pct}))
 
 
 _t = lambda x: f"(1 / (1 + {S.ERF_P}::double * abs({x})))"
