@@ -176,3 +176,4 @@ from tidemark.plans import statistics as _statistics  # noqa: E402, F401
 from tidemark.plans import costs as _costs  # noqa: E402, F401
 from tidemark.plans import trades as _trades  # noqa: E402, F401
 from tidemark.plans import regimes as _regimes  # noqa: E402, F401
+from tidemark.plans import fusion as _fusion  # noqa: E402, F401
