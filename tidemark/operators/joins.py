@@ -31,3 +31,27 @@ def against_market(returns: DataFrame) -> DataFrame:
     """returns(symbol, bar_ts, r) -> beta, alpha and correlation of each symbol with the mean return of all at its times."""
     market = returns.where("r is not null").groupBy("bar_ts").agg(F.avg("r").alias("m"))
     return returns.join(market, "bar_ts").groupBy("symbol").agg(F.regr_slope("r", "m").alias("beta"), F.regr_intercept("r", "m").alias("alpha"), F.corr("r", "m").alias("corr"), F.count("r").alias("n"))
+
+
+def combined(tables: dict[str, DataFrame], keys=("symbol", "bar_ts")) -> DataFrame:
+    """All tables side by side by symbol and time; columns that several have get the later table's name behind them."""
+    out = None
+    for name, d in tables.items():
+        if out is not None:
+            d = d.toDF(*[c if c in keys or c not in out.columns else f"{c}_{name}" for c in d.columns])
+        out = d if out is None else out.join(d, list(keys), "full_outer")
+    return out
+
+
+def coverage(signals: DataFrame, market: DataFrame, ts: str = "bar_ts", least: float = 0.8) -> DataFrame:
+    """(symbol, covered, sparse): the share of a symbol's signals that have a bar of their time."""
+    there = market.select("symbol", ts, F.lit(1).alias("_there")).distinct()
+    d = signals.join(there, ["symbol", ts], "left").groupBy("symbol").agg(F.avg(F.coalesce("_there", F.lit(0)).cast("double")).alias("covered"))
+    return d.withColumn("sparse", F.col("covered") < least)
+
+
+def reconciled(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(symbol, expected, actual, diff) of positions that differ, either side may lack one."""
+    e, a = expected.select("symbol", F.col("quantity").alias("expected")), actual.select("symbol", F.col("quantity").alias("actual"))
+    d = e.join(a, "symbol", "full_outer").na.fill(0.0, ["expected", "actual"])
+    return d.withColumn("diff", F.col("actual") - F.col("expected")).where(F.abs("diff") > tolerance)

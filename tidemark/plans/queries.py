@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest, hmm, joins, signals, voting
+from tidemark.operators import hmm, joins, signals, voting
 from tidemark.operators import bars as B
 from tidemark.operators.recurrences import recurrent
 from tidemark.plans.registry import BASES, QUERIES, SQL, W, r6
@@ -116,24 +116,13 @@ def confusion(b):
     return d.where("label is not null").groupBy("side", "label").agg(F.count("*").alias("n"))
 
 
-@registered("")
-def cooled_signals(b):
-    return signals.cooled(_signals(b), 6 * 3600)
-
-
-@registered("")
-def backtest_snapshots(b):
-    return backtest.run(_signals(b))
-
-
 @registered("")
 def hidden_states(b):
     d = b.select("symbol", "bar_ts", F.log(F.col("close") / B.back("close")).alias("r"))
     return hmm.infer(d, hmm.fit(d, ["r"])[0], ["r"])
 
 
-for _name in ("cooled_signals", "backtest_snapshots", "hidden_states"):  # folds and iterations: no SQL
-    del SQL[_name]
+del SQL["hidden_states"]  # an iteration: no SQL
 
 
 @registered(" , d as (select symbol, date_trunc('day', bar_ts) + interval 1 day as bar_ts, arg_max(close, bar_ts) as day_close from b group by symbol, date_trunc('day', bar_ts)) select b.symbol, b.bar_ts, b.close, d.day_close from b asof left join d on b.symbol = d.symbol and b.bar_ts >= d.bar_ts")
@@ -177,3 +166,5 @@ from tidemark.plans import costs as _costs  # noqa: E402, F401
 from tidemark.plans import trades as _trades  # noqa: E402, F401
 from tidemark.plans import regimes as _regimes  # noqa: E402, F401
 from tidemark.plans import fusion as _fusion  # noqa: E402, F401
+from tidemark.plans import research as _research  # noqa: E402, F401
+from tidemark.plans import search as _search  # noqa: E402, F401
