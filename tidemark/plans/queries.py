@@ -168,3 +168,4 @@ from tidemark.plans import regimes as _regimes  # noqa: E402, F401
 from tidemark.plans import fusion as _fusion  # noqa: E402, F401
 from tidemark.plans import research as _research  # noqa: E402, F401
 from tidemark.plans import search as _search  # noqa: E402, F401
+from tidemark.plans import sources as _sources  # noqa: E402, F401
