@@ -70,5 +70,22 @@ def test_warc_keeps_long_urls(spark):
         assert [r.url for r in warc.read(spark, manifest, split).orderBy("page_id").collect()] == want
 
 
+def test_archive_of_others(spark, tmp_path):
+    def rec(version, kind, block, **more):
+        head = "".join(f"{k.replace('_', '-')}:{v}\r\n" for k, v in {"WARC_Type": kind, "WARC_Target_URI": "http://a/b", **more, "Content_Length": len(block)}.items())
+        return f"WARC/{version}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+    body = b"<p>WARC/1.0\r\nContent-Length: 3\r\n\r\nabc</p>"
+    http = b"HTTP/1.1 200 OK\r\nX-Long: " + b"y" * 300 + b"\r\n\r\n" + body
+    data = rec("1.0", "warcinfo", b"software: x") + rec("1.0", "request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request")
+    data += rec("1.0", "response", http, Content_Type="application/http; msgtype=response", WARC_Payload_Digest="sha1:ABC", WARC_Record_ID="<urn:uuid:1-2>")
+    data += rec("1.1", "resource", body, Content_Type="text/html") + rec("1.1", "revisit", b"", WARC_Payload_Digest="sha1:ABC")
+    (tmp_path / "a.warc").write_bytes(data)
+    want = hashlib.sha256(body).hexdigest()
+    for split in (50, 1 << 20):
+        got = sorted((r.at, r.record_type, r.payload_bytes, r.payload_digest, r.page_id, r.url) for r in warc.read(spark, warc.manifest_of(spark, f"file://{tmp_path}/a.warc"), split).collect())
+        assert [x[1:] for x in got] == [("response", len(body), want, None, "http://a/b"), ("resource", len(body), want, None, "http://a/b"), ("revisit", None, "sha1:ABC", None, "http://a/b")]
+
+
 def test_no_pages(spark):
     assert warc.digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import encoded, fs_of, limit_batches, map_batches, new_dir, pick, written
 
 MAGIC = b"WARC/1.1\r\n"
+#: What a record may start with; the search is for what they share.
+MAGICS, SHARED = (b"WARC/1.0\r\n", MAGIC), b"WARC/1."
 MIN_REVISIT = 100
 SPLIT = 4 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -52,23 +54,37 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def parse(data: bytes, at: int, most_head: int) -> tuple[dict[str, str], int, int] | None:
     """(fields, start of the block, end of the record) of the record at this place, or None if no header of at most most_head bytes stands there."""
-    if not data.startswith(MAGIC, at):
+    if not data.startswith(MAGICS, at):
         return None
     stop = data.find(b"\r\n\r\n", at, at + most_head)
     if stop < 0:
         return None
     fields = {}
     for line in data[at + len(MAGIC) : stop].split(b"\r\n"):
-        k, sep, v = line.partition(b": ")
+        k, sep, v = line.partition(b":")
         if not sep:
             return None
-        fields[k.decode("latin-1").lower()] = v.decode("latin-1")
+        fields[k.decode("latin-1").strip().lower()] = v.decode("latin-1").strip()
     n = fields.get("content-length", "")
     if not (n.isascii() and n.isdigit()) or len(n) > 15:
         return None
     return fields, stop + 4, stop + 8 + int(n)
 
 
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    """What follows the HTTP head of a block that has one, else the whole block."""
+    if block.startswith(b"HTTP/") and fields.get("content-type", "").startswith("application/http"):
+        head, sep, body = block.partition(b"\r\n\r\n")
+        return body if sep else b""
+    return block
+
+
+def manifest_of(spark: SparkSession, path: str, most_head: int = 1 << 16) -> DataFrame:
+    """A manifest of uncompressed archives of others, whose headers are at most most_head bytes long."""
+    found = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("n_bytes"), F.lit(most_head).cast("long").alias("most_head"))
+    return written(found.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")), "manifest")
+
+
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes archives; returns the manifest (path, n_bytes, most_head); no header of the file is longer than most_head."""
     spark = pages.sparkSession
@@ -81,7 +97,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     later = sig.join(first.hint("merge"), "digest").where("page_id is null or page_id > first").select("page_id", F.col("digest").alias("d"), "first").distinct()
     later = written(later.withColumnRenamed("page_id", "p"), "revisits")
     # nulls and hot ids are spread by the digest
-    typed = rows.join(later, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")) & (F.octet_length("html") >= MIN_REVISIT), "left")
+    typed = rows.join(later.hint("merge"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")) & (F.octet_length("html") >= MIN_REVISIT), "left")
     typed = typed.select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "first")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +145,11 @@ def candidates(splits: DataFrame, split: int) -> DataFrame:
             end = min(begin + split, size)
             f, data = _bytes(path, begin, end, most)
             f.close()
-            nxt, at = {}, data.find(MAGIC)
+            nxt, at = {}, data.find(SHARED)
             while 0 <= at < end - begin:
                 if (got := parse(data, at, most)) and begin + got[2] <= size:
                     nxt[at] = got[2]
-                at = data.find(MAGIC, at + 1)
+                at = data.find(SHARED, at + 1)
             leave: dict[int, int] = {}
             for at in sorted(nxt, reverse=True):
                 to = nxt[at]
@@ -154,20 +170,21 @@ def entries(spark: SparkSession, manifest: DataFrame, split: int = SPLIT) -> Dat
     reached = jump.where("at = 0").select("path", "at")
     step = jump.select("path", "at", "exit")
     for _ in range(max(1, math.ceil(math.log2(max(2, -(-most // split))))) + 1):
-        go = reached.join(step, ["path", "at"]).where("exit >= 0").select("path", F.col("exit").alias("at"))
+        go = reached.join(step.hint("merge"), ["path", "at"]).where("exit >= 0").select("path", F.col("exit").alias("at"))
         reached = written(reached.unionByName(go).distinct(), "reached")
         on = step.select("path", F.col("at").alias("exit"), F.col("exit").alias("beyond"))
-        step = written(step.join(on, ["path", "exit"]).select("path", "at", F.col("beyond").alias("exit")), "jumps")
-    return places.join(reached, ["path", "at"])
+        step = written(step.join(on.hint("merge"), ["path", "exit"]).select("path", "at", F.col("beyond").alias("exit")), "jumps")
+    return places.join(reached.hint("merge"), ["path", "at"])
 
 
 def read(spark: SparkSession, manifest: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, path, at) of every true record."""
-    found = entries(spark, manifest, split).join(manifest, "path").select("path", "begin", "at", "n_bytes", "most_head").repartition(spark.sparkContext.defaultParallelism * 2)
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, path, at) of every true response, resource and revisit; records of
+    other kinds are passed over. page_id and refers_to are null in archives of others, and so is what their headers don't tell of a revisit."""
+    found = entries(spark, manifest, split).join(manifest.hint("merge"), "path").select("path", "begin", "at", "n_bytes", "most_head").repartition(spark.sparkContext.defaultParallelism * 2)
 
     def page(urn: str | None) -> int | None:
         tail = (urn or "").removeprefix("<urn:x-page:").removesuffix(">")
-        return None if not tail or tail.startswith("null-") else int(tail)
+        return int(tail) if tail.lstrip("-").isdigit() else None
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -185,15 +202,15 @@ def read(spark: SparkSession, manifest: DataFrame, split: int = SPLIT) -> DataFr
                     if end > len(data):  # the block goes on beyond what was read
                         f.seek(at + i)
                         data, start, end, at, i = f.read(end - i + most), start - i, end - i, at + i, 0
-                    kind = fields["warc-type"]
-                    digest = fields["warc-payload-digest"].removeprefix("sha256:")
-                    n = int(fields["x-payload-length"])
-                    if kind == "response":
-                        payload = data[start + len(HTTP) : end - 4]
-                        n = len(payload)
-                        if hashlib.sha256(payload).hexdigest() != digest:
+                    kind, digest, n = fields.get("warc-type"), fields.get("warc-payload-digest"), fields.get("x-payload-length")
+                    if kind in ("response", "resource"):
+                        payload = payload_of(fields, data[start : end - 4])
+                        n, own = len(payload), hashlib.sha256(payload).hexdigest()
+                        if digest and digest.startswith("sha256:") and digest != f"sha256:{own}":
                             raise ValueError(f"{path}: wrong digest at {at + i}")
-                    rows.append((page(fields["warc-record-id"]), n, digest, kind, page(fields.get("warc-refers-to")), fields["warc-target-uri"], path, at + i))
+                        digest = own
+                    if kind in ("response", "resource", "revisit"):
+                        rows.append((page(fields.get("warc-record-id")), None if n is None else int(n), digest and digest.removeprefix("sha256:"), kind, page(fields.get("warc-refers-to")), fields.get("warc-target-uri"), path, at + i))
                     i = end
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "path", "at"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
