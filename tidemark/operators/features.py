@@ -91,13 +91,14 @@ def training_rows(bars: DataFrame, horizon: int = 4, threshold: float = 0.001) -
 def research(bars: DataFrame) -> DataFrame:
     """The whole set of research features: returns, rolling statistics of 5, 10 and 20, rates of change, volatility, range and lags;
     null until a frame is full."""
-    r = bars.withColumns({"return_1": F.col("close") / B.back("close") - 1, "log_return": F.log(F.col("close") / B.back("close"))})
+    over = lambda n=1: F.nullif(B.back("close", n), F.lit(0.0))
+    r = bars.withColumns({"return_1": F.col("close") / over() - 1, "log_return": F.log(F.col("close") / over())})
     out = {}
     for n in (5, 10, 20):
         full = lambda x, n=n: B.when_full(x, n)
         out |= {f"mean_{n}": full(B.sma(n)), f"std_{n}": full(B.std(n)), f"z_{n}": full((F.col("close") - B.sma(n)) / F.nullif(B.std(n), F.lit(0.0)))}
     for n in (5, 10):
-        out |= {f"roc_{n}": F.col("close") / B.back("close", n) - 1, f"momentum_{n}": F.col("close") - B.back("close", n)}
+        out |= {f"roc_{n}": F.col("close") / over(n) - 1, f"momentum_{n}": F.col("close") - B.back("close", n)}
     for n in (10, 20):
         out[f"volatility_{n}"] = B.when_full(B.std(n, "return_1"), n, "return_1")
     out["range_10"] = B.when_full(F.max("close").over(B.last(10)) - F.min("close").over(B.last(10)), 10)
@@ -120,9 +121,9 @@ def simplified(bars: DataFrame, n: int = 14) -> DataFrame:
     tr = F.sum("_tr").over(inner)
     wt = (F.col("_tp") - mean) / F.nullif(mean, F.lit(0.0)) * 100
     out = {
-        "rsi": F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / loss)), "sma": B.sma(n), "ema": ema, "std": F.stddev_pop("close").over(w),
-        "cci": F.when(dev > 0, F.least(F.greatest((F.col("_tp") - mean) / (0.015 * dev), F.lit(-500.0)), F.lit(500.0))).otherwise(0.0),
-        "adx": F.when(tr > 0, plus / tr * 100).otherwise(0.0), "wt1": wt, "wt2": wt * 0.8,
+        "rsi": F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0)))), "sma": B.sma(n), "ema": ema, "std": F.stddev_pop("close").over(w),
+        "cci": F.when(dev > 0, F.least(F.greatest((F.col("_tp") - mean) / F.nullif(0.015 * dev, F.lit(0.0)), F.lit(-500.0)), F.lit(500.0))).otherwise(0.0),
+        "adx": F.when(tr > 0, plus / F.nullif(tr, F.lit(0.0)) * 100).otherwise(0.0), "wt1": wt, "wt2": wt * 0.8,
     }
     full = F.count("*").over(w) == n
     return d.select("symbol", "bar_ts", *[F.when(full, x).alias(c) for c, x in out.items()])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import by_symbol
+
 
 def lorentzian(a: Column, b: Column, n: int | None = None) -> Column:
     """Sum of ln(1 + |difference|) over the components both have, or the first n of them."""
@@ -49,38 +51,40 @@ def predict(rows: DataFrame, features: list[str], mode: str = "exact", k: int =
     Blocks of a symbol's bars are tasks of their own, each with the back bars before it, so a long series is dealt out."""
     if mode not in ("exact", "scan", "auto"):
         raise ValueError(f"unknown mode {mode}")
-    from tidemark.operators.bars import by_symbol
-
     numbered = rows.select("symbol", "bar_ts", "label", *features).withColumn("_i", (F.row_number().over(by_symbol()) - 1).cast("long"))
     own = F.floor(F.col("_i") / block)
-    reach = -(-(back + horizon) // block)
+    last = F.floor((F.count("*").over(Window.partitionBy("symbol")) - 1) / block)
+    numbered = numbered.withColumn("_to", F.least(own + -(-(back + horizon) // block), last))
     # a bar goes to its block as a query, and as a sample to the blocks that may look back to it
-    d = numbered.withColumn("_b", F.explode(F.when(F.col("label").isNotNull() & (F.col("_i") % spacing == 0), F.sequence(own, own + reach)).otherwise(F.array(own)))).withColumn("_own", own)
+    d = numbered.withColumn("_b", F.explode(F.when(F.col("label").isNotNull() & (F.col("_i") % spacing == 0), F.sequence(own, F.col("_to"))).otherwise(F.array(own)))).withColumn("_own", own)
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.dropna(subset=features).sort_values("_i")
         i, x = g._i.to_numpy(), g[features].to_numpy(float)
         q, s = (g._b == g._own).to_numpy(), (g.label.notna() & (g._i % spacing == 0)).to_numpy()
         si, sx, sl = i[s], x[s], g.label.to_numpy(float)[s]
-        out = []
+        out, symbol, times = [], str(g.symbol.iloc[0]) if len(g) else "", list(g.bar_ts[q])
         for a in range(0, int(q.sum()), 256):
-            qi, qx, qt = i[q][a : a + 256], x[q][a : a + 256], g.bar_ts[q].iloc[a : a + 256]
+            qi, qx = i[q][a : a + 256], x[q][a : a + 256]
             dist = distances(qx, sx) if len(sx) else np.zeros((len(qx), 0))
-            for t, j, row in zip(qt, qi, dist):
-                lo, hi = np.searchsorted(si, j - back), np.searchsorted(si, j - horizon, side="right")
-                dd, ll = row[lo:hi], sl[lo:hi]
+            lo, hi = np.searchsorted(si, qi - back), np.searchsorted(si, qi - horizon, side="right")
+            for j, t in enumerate(times[a : a + 256]):
+                dd, ll = dist[j, lo[j] : hi[j]], sl[lo[j] : hi[j]]
+                if not len(dd):
+                    continue
                 if mode == "scan" or (mode == "auto" and len(dd) <= many):
                     near, votes = scanned(dd, ll, k, spacing)
+                    near, votes = np.array(near), np.array(votes)
                 else:
                     if mode == "auto":
                         dd, ll = dd[::spacing], ll[::spacing]
-                    best = np.lexsort((np.arange(len(dd)), dd))[:k]
-                    near, votes = dd[best].tolist(), ll[best].astype(int).tolist()
-                if not near:
-                    continue
-                w = [1 / (1 + z) for z in near]
-                side = sum(p * v for p, v in zip(w, votes))
-                out.append((g.symbol.iloc[0], t, int(sum(votes)), len(near), int(np.sign(sum(votes))), 1 / (1 + float(np.std(near))), side / sum(w), 1 / (1 + float(np.mean(near))), near))
+                    if len(dd) > 4 * k:  # only what may be among the k nearest is sorted
+                        some = np.flatnonzero(dd <= np.partition(dd, k - 1)[k - 1])
+                        dd, ll = dd[some], ll[some]
+                    best = np.argsort(dd, kind="stable")[:k]
+                    near, votes = dd[best], ll[best]
+                w, total = 1 / (1 + near), int(votes.sum())
+                out.append((symbol, t, total, len(near), (total > 0) - (total < 0), 1 / (1 + float(near.std())), float(w @ votes / w.sum()), 1 / (1 + float(near.mean())), near))
         return pd.DataFrame(out, columns=[c.split()[0] for c in PREDICTION.split(", ")])
 
     return d.groupBy("symbol", "_b").applyInPandas(one, PREDICTION)
@@ -98,8 +102,6 @@ def bucketed(vectors: DataFrame, queries: DataFrame, features: list[str], k: int
 
     met = hashed(queries, "query").join(hashed(vectors, "id"), ["t", "code"]).dropDuplicates(["query", "id"])
     near = met.select("query", "id", F.round(lorentzian(F.col("v_query"), F.col("v_id")), 9).alias("distance"))
-    from pyspark.sql import Window
-
     return near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("place") <= k)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as T
 from tidemark.operators import recurrences
-from tidemark.plans.registry import W, r6, registered
+from tidemark.plans.registry import W, r6, registered, rounded
 
 F20 = f"({W} rows between 19 preceding and current row)"
 
@@ -42,12 +42,12 @@ def banded_signals(b):
     return T.signals(T.features(b)).select("symbol", "bar_ts", *r6(s_mr="s_mr", s_tsmom="s_tsmom"))
 
 
-@registered(FEATURES + ", v as (select symbol, bar_ts, rsi is not null and wavetrend_1 is not null and cci is not null and adx is not null and wavetrend_2 is not null as whole, [rsi, wavetrend_1, cci, adx, wavetrend_2] as v, [coalesce(rsi, 50), coalesce(wavetrend_1, 0), coalesce(cci, 0), coalesce(adx, 25), coalesce(momentum, 0)] as d from f) select symbol, bar_ts, round(case when whole then list_sum(v) end, 2) as v_sum, round(list_sum(d), 2) as d_sum, case when whole then 5 end as v_size from v")
+@registered(FEATURES + ", v as (select symbol, bar_ts, rsi is not null and wavetrend_1 is not null and cci is not null and adx is not null and wavetrend_2 is not null as whole, [rsi::float::double, wavetrend_1::float::double, cci::float::double, adx::float::double, wavetrend_2::float::double] as v, [coalesce(rsi, 50)::float::double, coalesce(wavetrend_1, 0)::float::double, coalesce(cci, 0)::float::double, coalesce(adx, 25)::float::double, coalesce(momentum, 0)::float::double] as d from f) select symbol, bar_ts, round(case when whole then list_sum(v) end, 4) + 0 as v_sum, round(list_sum(d), 4) + 0 as d_sum, case when whole then 5 end as v_size from v")
 def neighbour_vectors(b):
     """Sums and size of the vectors, with and without defaults."""
     d = T.features(b).select("symbol", "bar_ts", T.vector().alias("v"), T.vector("momentum", defaults=True).alias("d"))
-    total = lambda c: F.round(F.aggregate(F.transform(c, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 2)
-    return d.select("symbol", "bar_ts", total("v").alias("v_sum"), total("d").alias("d_sum"), F.when(F.col("v").isNotNull(), F.size("v")).alias("v_size"))
+    total = lambda c: F.aggregate(F.transform(c, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return d.select("symbol", "bar_ts", *rounded(4, v_sum=total("v"), d_sum=total("d")), F.when(F.col("v").isNotNull(), F.size("v")).alias("v_size"))
 
 
 SNAP = f", d as (select distinct * from b), k as (select *, avg(close) over {F20} as sma_20, stddev_samp(close) over {F20} as std_20, case when lag(close) over ({W}) is null or lag(close) over ({W}) = 0 then 0 else close / lag(close) over ({W}) - 1 end as momentum, (lead(close, 4) over ({W}) - close) / nullif(close, 0) as future_return, count(*) over (partition by symbol) as many from d), s as (select *, case when future_return > 0.02 then 'Buy' when future_return < -0.02 then 'Sell' when future_return is not null then 'Hold' end as label from k where many >= 24)"
@@ -79,13 +79,13 @@ def _over(x: str, n: int) -> str:
 _research = {f"mean_{n}": _full(_over("avg(close)", n), n) for n in (5, 10, 20)}
 _research |= {f"std_{n}": _full(_over("stddev_samp(close)", n), n) for n in (5, 10, 20)}
 _research |= {f"z_{n}": _full(f"(close - {_over('avg(close)', n)}) / nullif({_over('stddev_samp(close)', n)}, 0)", n) for n in (5, 10, 20)}
-_research |= {f"roc_{n}": f"close / lag(close, {n}) over ({W}) - 1" for n in (5, 10)} | {f"momentum_{n}": f"close - lag(close, {n}) over ({W})" for n in (5, 10)}
+_research |= {f"roc_{n}": f"close / nullif(lag(close, {n}) over ({W}), 0) - 1" for n in (5, 10)} | {f"momentum_{n}": f"close - lag(close, {n}) over ({W})" for n in (5, 10)}
 _research |= {f"volatility_{n}": _full(_over("stddev_samp(return_1)", n), n, "return_1") for n in (10, 20)}
 _research |= {"range_10": _full(f"{_over('max(close)', 10)} - {_over('min(close)', 10)}", 10)} | {f"lag_{k}": f"lag(close, {k}) over ({W})" for k in (1, 2, 3)}
 _research |= {"return_1": "return_1", "log_return": "log_return"}
 
 
-@registered(f", r as (select *, close / lag(close) over ({W}) - 1 as return_1, ln(close / lag(close) over ({W})) as log_return from b) select symbol, bar_ts, {', '.join(f'round({x}, 6) as {c}' for c, x in _research.items())} from r")
+@registered(f", r as (select *, close / nullif(lag(close) over ({W}), 0) - 1 as return_1, case when close > 0 and lag(close) over ({W}) > 0 then ln(close / lag(close) over ({W})) end as log_return from b) select symbol, bar_ts, {', '.join(f'round({x}, 6) as {c}' for c, x in _research.items())} from r")
 def research_features(b):
     return T.research(b).select("symbol", "bar_ts", *r6(**{c: c for c in _research}))
 

@@ -46,9 +46,9 @@ def regime_characteristics(b):
     return d.select("symbol", "regime", "n", *r6(share="share", mean="mean", std="std"), *rounded(5, skew="skew", kurtosis="kurtosis", trend="trend"), *kinds)
 
 
-@registered(f", n as (select symbol, bar_ts, ln(close) as x, count(*) over (partition by symbol) as n, row_number() over ({W}) as i from b), d as (select a.symbol, a.n, a.i - c.i as k, stddev_pop(a.x - c.x) as s from n a join n c on a.symbol = c.symbol and a.i - c.i between 2 and 20 group by all), h as (select symbol, regr_slope(ln(s), ln(k)) as hurst from d where k <= n // 2 and s > 0 group by symbol) select symbol, round(hurst, 6) as hurst, round(least(greatest(1 - 2 * hurst, 0), 1), 6) as reversion from h")
+@registered(f", n as (select symbol, bar_ts, ln(1 + close) as x, count(*) over (partition by symbol) as n, row_number() over ({W}) as i from b), d as (select a.symbol, a.n, a.i - c.i as k, stddev_pop(a.x - c.x) as s from n a join n c on a.symbol = c.symbol and a.i - c.i between 2 and 20 group by all), h as (select symbol, regr_slope(ln(s), ln(k)) as hurst from d where k <= n // 2 and s > 0 group by symbol) select symbol, round(hurst, 6) as hurst, round(least(greatest(1 - 2 * hurst, 0), 1), 6) as reversion from h")
 def hurst_scores(b):
-    return R.hurst(b.select("symbol", "bar_ts", F.log("close").alias("x"))).select("symbol", *r6(hurst="hurst", reversion="reversion"))
+    return R.hurst(b.select("symbol", "bar_ts", F.log1p("close").alias("x"))).select("symbol", *r6(hurst="hurst", reversion="reversion"))
 
 
 @registered(ROWS + f", y as (select symbol, regime, count(*) as n, avg(r) as m, var_pop(r) as v from q group by all), p as (select *, n / sum(n) over (partition by symbol) as p from y), t as (select symbol, count(*) as n_states, var_pop(m) as between_v, avg(v) as within, sum(-p * ln(p)) as h from p group by symbol), k as (select symbol, (regime <> lag(regime) over ({W}))::int as c from q), z as (select symbol, sum(c) as changes, count(*) as n from k group by symbol) select symbol, n_states, round(between_v, 6) as between, round(within, 6) as within, round(coalesce(between_v / nullif(between_v + within, 0), 0), 6) as separability, round(case when n_states > 1 then 1 - h / ln(n_states) else 1 end, 6) as consistency, round(1 - least(1, 2 * changes / n), 6) as stability from t join z using (symbol)")

@@ -46,7 +46,7 @@ def scaled_values(b):
     return d.select("symbol", "bar_ts", *r6(standard="standard", minmax="minmax", robust="robust"))
 
 
-@registered(f", f as (select symbol, bar_ts, close, avg(close) over w as m, stddev_samp(close) over w as s, count(*) over w as n from b window w as ({W} rows between 4 preceding and current row)), l as (select symbol, bar_ts, ln(1 + close) as x from f), q as (select symbol, avg(x) - 3 * stddev_samp(x) as lo, avg(x) + 3 * stddev_samp(x) as hi from l group by symbol), c as (select symbol, bar_ts, least(greatest(x, lo), hi) as x from l join q using (symbol)), z as (select symbol, avg(x) as m, stddev_pop(x) as s from c group by symbol) select symbol, bar_ts, round((x - m) / s, 6) as close from c join z using (symbol)")
+@registered(f", f as (select symbol, bar_ts, close, avg(close) over w as m, stddev_samp(close) over w as s, count(*) over w as n from b window w as ({W} rows between 4 preceding and current row)), l as (select symbol, bar_ts, case when min(close) over (partition by symbol) > 0 then ln(1 + close) else close end as x from f), q as (select symbol, avg(x) - 3 * stddev_samp(x) as lo, avg(x) + 3 * stddev_samp(x) as hi from l group by symbol), c as (select symbol, bar_ts, case when x < lo then lo when x > hi then hi else x end as x from l join q using (symbol)), z as (select symbol, avg(x) as m, stddev_pop(x) as s from c group by symbol) select symbol, bar_ts, round((x - m) / case when s = 0 then 1 else s end, 6) as close from c join z using (symbol)")
 def prepared_closes(b):
     """The whole pipeline, learned and replayed."""
     return P.Pipeline("close").fit(b).apply(b).select("symbol", "bar_ts", *r6(close="close"))

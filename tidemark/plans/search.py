@@ -9,12 +9,13 @@ from tidemark.operators import backtest, hmm, search, signals
 from tidemark.operators import bars as B
 from tidemark.plans.registry import W, r6, registered, rounded
 
-FEATURES = f", f as (select *, close / lag(close) over o - 1 as f1, (close - avg(close) over w) / nullif(stddev_samp(close) over w, 0) as f2, close / lag(close, 5) over o - 1 as f3, cast(sign(lead(close, 4) over o - close) as int) as label, row_number() over o - 1 as i from b window o as ({W}), w as ({W} rows between 19 preceding and current row))"
+FEATURES = f", f as (select *, close / nullif(lag(close) over o, 0) - 1 as f1, (close - avg(close) over w) / nullif(stddev_samp(close) over w, 0) as f2, close / nullif(lag(close, 5) over o, 0) - 1 as f3, cast(sign(lead(close, 4) over o - close) as int) as label, row_number() over o - 1 as i from b window o as ({W}), w as ({W} rows between 19 preceding and current row))"
 PAIRS = FEATURES + ", p as (select q.symbol, q.bar_ts, c.i as j, c.label, round(ln(1 + abs(q.f1 - c.f1)) + ln(1 + abs(q.f2 - c.f2)) + ln(1 + abs(q.f3 - c.f3)), 9) as d from f q join f c on q.symbol = c.symbol and c.i <= q.i - 4 and c.i >= q.i - 2000 where c.i % 4 = 0 and c.label is not null and q.f1 + q.f2 + q.f3 is not null and c.f1 + c.f2 + c.f3 is not null)"
 
 
 def featured(b):
-    return b.withColumns({"f1": F.col("close") / B.back("close") - 1, "f2": B.zscore(), "f3": F.col("close") / B.back("close", 5) - 1, "label": B.direction()})
+    move = lambda n: F.col("close") / F.nullif(B.back("close", n), F.lit(0.0)) - 1
+    return b.withColumns({"f1": move(1), "f2": B.zscore(), "f3": move(5), "label": B.direction()})
 
 
 def told(d):
