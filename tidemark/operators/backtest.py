@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidemark.operators.bars import spread
+
 
 @dataclass(frozen=True)
 class Costs:
@@ -38,4 +40,4 @@ def run(rows: DataFrame, capital: float = 500_000.0, fraction: float = 0.05, cos
         d = d.dropna(subset=["close"]).sort_values("bar_ts")
         return pd.DataFrame({"symbol": d.symbol, "bar_ts": d.bar_ts, **folded(d.close.to_numpy(float), d.side.tolist(), capital, fraction, costs)})
 
-    return rows.select("symbol", "bar_ts", "close", "side").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, cash double, position double, value double, cost double")
+    return spread(rows.select("symbol", "bar_ts", "close", "side"), "symbol").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, cash double, position double, value double, cost double")

@@ -14,6 +14,12 @@ def bars_from_ticks(ticks: DataFrame, unit: str = "hour", symbol: str = "event_t
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys to as many tasks as there are cores at least: small tables whose groups are much work each would else be one task's."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def corr(x, y) -> Column:
     """Pearson's correlation; null where a side doesn't vary."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))

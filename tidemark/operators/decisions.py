@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidemark.operators.bars import spread
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -90,7 +92,7 @@ def decisions(rows: DataFrame, lim: Limits = Limits()) -> DataFrame:
         got = decide(t, d.side, d.strength, d.top_share, lim)
         return pd.DataFrame({"symbol": d.symbol, "bar_ts": d.bar_ts, "side": d.side, "action": [g[0] for g in got], "blocked": [g[1] for g in got], "confidence": [g[2] for g in got]})
 
-    return rows.select("symbol", "bar_ts", "side", "strength", "top_share").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, side string, action string, blocked string, confidence double")
+    return spread(rows.select("symbol", "bar_ts", "side", "strength", "top_share"), "symbol").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, side string, action string, blocked string, confidence double")
 
 
 class Portfolio:
@@ -151,4 +153,4 @@ def shared_cash(rows: DataFrame, capital: float = 100_000.0, share: float = 0.02
             out.append((d[run].iloc[0], t, p.cash, *p.snapshot()[:3], p.realised, len(p.held)))
         return pd.DataFrame(out, columns=[run, "bar_ts", "cash", "value", "exposure", "unrealised", "realised", "n_positions"])
 
-    return rows.select(run, "symbol", "bar_ts", "close", "side").groupBy(run).applyInPandas(one, f"{run} string, bar_ts timestamp, cash double, value double, exposure double, unrealised double, realised double, n_positions int")
+    return spread(rows.select(run, "symbol", "bar_ts", "close", "side"), run).groupBy(run).applyInPandas(one, f"{run} string, bar_ts timestamp, cash double, value double, exposure double, unrealised double, realised double, n_positions int")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import spread
+
 
 @dataclass
 class Model:
@@ -85,7 +87,7 @@ def fit(rows: DataFrame, obs: list[str], states: int = 3, rounds: int = 100, lea
     """Expectation maximisation until a step gains less than tolerance in log likelihood, with a warning if rounds steps
     don't suffice: each chain's expected sums are taken where its rows are; only their total, whose size is
     fixed by states and obs, reaches the driver. Returns the model and the log likelihood before each step."""
-    rows = rows.select("symbol", "bar_ts", *obs).persist()  # read in every step
+    rows = spread(rows.select("symbol", "bar_ts", *obs), "symbol").persist()  # read in every step
     try:
         return _fit(rows, obs, states, rounds, least_var, tolerance)
     finally:
@@ -123,4 +125,4 @@ def infer(rows: DataFrame, m: Model, obs: list[str]) -> DataFrame:
             return pd.DataFrame({"symbol": [], "bar_ts": [], "probs": [], "state": []})
         return pd.DataFrame({"symbol": p.symbol, "bar_ts": p.bar_ts, "probs": list(forward(m, x)[0]), "state": viterbi(m, x)})
 
-    return rows.select("symbol", "bar_ts", *obs).groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, probs array<double>, state int")
+    return spread(rows.select("symbol", "bar_ts", *obs), "symbol").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, probs array<double>, state int")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import hmm
+from tidemark.operators.bars import spread
 from tidemark.operators.validation import expanding, grid_weights
 
 
@@ -111,7 +112,7 @@ def posteriors(rows: DataFrame, m: hmm.Model, obs: list[str]) -> DataFrame:
             g[t] = f[t] * (m.move @ np.divide(g[t + 1], ahead, out=np.zeros_like(ahead), where=ahead > 0))
         return pd.DataFrame({"symbol": p.symbol, "bar_ts": p.bar_ts, "probs": list(g)})
 
-    return rows.select("symbol", "bar_ts", *obs).groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, probs array<double>")
+    return spread(rows.select("symbol", "bar_ts", *obs), "symbol").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, probs array<double>")
 
 
 def split(rows: DataFrame, share: float = 0.2) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidemark.operators.bars import spread
+
 
 def ewm(x: np.ndarray, alpha: float) -> np.ndarray:
     return pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
@@ -53,7 +55,7 @@ def recurrent(bars: DataFrame, ma: int = 20, period: int = 14) -> DataFrame:
         wt1 = ewm(ci, 2 / (period + 1))
         return pd.DataFrame({"symbol": d.symbol, "bar_ts": d.bar_ts, "ema": ewm(c, 2 / (ma + 1)), "rsi": rsi, "wt1": wt1, "wt2": ewm(wt1, 0.4), "adx": adx(high, low, c, ma)})
 
-    return bars.select("symbol", "bar_ts", "high", "low", "close").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, ema double, rsi double, wt1 double, wt2 double, adx double")
+    return spread(bars.select("symbol", "bar_ts", "high", "low", "close"), "symbol").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, ema double, rsi double, wt1 double, wt2 double, adx double")
 
 
 def filters(bars: DataFrame, length: int = 14, short: int = 1, long: int = 10, adx_least: float = 20.0, slope_least: float = -0.1, corrected: bool = True) -> DataFrame:
@@ -89,4 +91,4 @@ def filters(bars: DataFrame, length: int = 14, short: int = 1, long: int = 10, a
         trending = np.nan_to_num(dx) > adx_least
         return pd.DataFrame({"symbol": d.symbol, "bar_ts": d.bar_ts, "volatile": volatile, "trending": trending, "sloped": sloped, "passed": volatile & trending & sloped})
 
-    return bars.select("symbol", "bar_ts", "high", "low", "close").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, volatile boolean, trending boolean, sloped boolean, passed boolean")
+    return spread(bars.select("symbol", "bar_ts", "high", "low", "close"), "symbol").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, volatile boolean, trending boolean, sloped boolean, passed boolean")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.bars import by_symbol
+from tidemark.operators.bars import by_symbol, spread
 
 
 def lorentzian(a: Column, b: Column, n: int | None = None) -> Column:
@@ -87,7 +87,7 @@ def predict(rows: DataFrame, features: list[str], mode: str = "exact", k: int =
                 out.append((symbol, t, total, len(near), (total > 0) - (total < 0), 1 / (1 + float(near.std())), float(w @ votes / w.sum()), 1 / (1 + float(near.mean())), near))
         return pd.DataFrame(out, columns=[c.split()[0] for c in PREDICTION.split(", ")])
 
-    return d.groupBy("symbol", "_b").applyInPandas(one, PREDICTION)
+    return spread(d, "symbol", "_b").groupBy("symbol", "_b").applyInPandas(one, PREDICTION)
 
 
 def bucketed(vectors: DataFrame, queries: DataFrame, features: list[str], k: int = 8, width: float = 1.0, tables: int = 4, seed: int = 3) -> DataFrame:

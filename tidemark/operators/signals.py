@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.bars import spread
+
 
 def squash(x: Column) -> Column:
     return x / (1 + F.abs(x))
@@ -43,4 +45,4 @@ def cooled(rows: DataFrame, period: float) -> DataFrame:
         d = d.sort_values("bar_ts")
         return d.assign(emit=emitted(d.bar_ts.astype("datetime64[us]").astype("int64") / 1e6, d.side, period))
 
-    return rows.select("symbol", "bar_ts", "side").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, side string, emit boolean")
+    return spread(rows.select("symbol", "bar_ts", "side"), "symbol").groupBy("symbol").applyInPandas(one, "symbol string, bar_ts timestamp, side string, emit boolean")

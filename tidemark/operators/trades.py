@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.bars import corr
+from tidemark.operators.bars import corr, spread
 
 
 @dataclass(frozen=True)
@@ -93,10 +93,10 @@ def run(rows: DataFrame, p: Plan = Plan(), what: str = "trades") -> DataFrame:
         out = pd.DataFrame(got, columns=names)
         for c in names:
             if c.endswith("time") or c == "bar_ts":
-                out[c] = pd.to_datetime(out[c], unit="s")
+                out[c] = (out[c].to_numpy(float) * 1e6).round().astype("int64").astype("datetime64[us]")
         return out
 
-    return rows.select("symbol", "bar_ts", "close", "signal", "confidence").groupBy("symbol").applyInPandas(one, schema)
+    return spread(rows.select("symbol", "bar_ts", "close", "signal", "confidence"), "symbol").groupBy("symbol").applyInPandas(one, schema)
 
 
 def attribution(trades: DataFrame) -> DataFrame:
@@ -193,4 +193,4 @@ def round_trips(orders: DataFrame, keys=("symbol",), shorts: bool = True) -> Dat
                 held += q
         return pd.DataFrame(out, columns=["symbol", "entry_time", "exit_time", "direction", "quantity", "entry_price", "exit_price", "pnl"])
 
-    return orders.select("symbol", "bar_ts", "side", "quantity", "price").groupBy(*keys).applyInPandas(one, "symbol string, entry_time timestamp, exit_time timestamp, direction int, quantity double, entry_price double, exit_price double, pnl double")
+    return spread(orders.select("symbol", "bar_ts", "side", "quantity", "price"), *keys).groupBy(*keys).applyInPandas(one, "symbol string, entry_time timestamp, exit_time timestamp, direction int, quantity double, entry_price double, exit_price double, pnl double")

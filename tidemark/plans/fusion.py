@@ -19,7 +19,7 @@ def rows(b):
     w = B.last(10)
     m = lambda n: F.col("close") / F.nullif(B.back("close", n), F.lit(0.0)) - 1
     d = b.select("symbol", "bar_ts", "close", "volume", (F.row_number().over(B.by_symbol()) - 1).alias("i"), m(1).alias("m1"), m(5).alias("m5"), ((F.avg("close").over(w) - F.col("close")) / F.nullif(F.stddev_samp("close").over(w), F.lit(0.0))).alias("z"))
-    return d.withColumns({n: F.round(F.col(c) / (1 + F.abs(c)), 9) for n, c in (("s_ldc", "m5"), ("s_mr", "z"), ("s_tsmom", "m1"))})
+    return d.select("*", *rounded(9, **{n: F.col(c) / (1 + F.abs(c)) for n, c in (("s_ldc", "m5"), ("s_mr", "z"), ("s_tsmom", "m1"))}))
 
 
 def known(b):

@@ -36,7 +36,7 @@ def signals(b):
     w = B.last(10)
     z = (F.col("close") - F.avg("close").over(w)) / F.nullif(F.stddev_samp("close").over(w), F.lit(0.0))
     d = b.select("symbol", "bar_ts", "close", z.alias("z")).where("z is not null")
-    return d.select("symbol", "bar_ts", "close", F.round(-F.col("z") / (1 + F.abs("z")), 9).alias("signal"), F.round(1 / (1 + F.abs("z") / 2), 9).alias("confidence"))
+    return d.select("symbol", "bar_ts", "close", *rounded(9, signal=-F.col("z") / (1 + F.abs("z")), confidence=1 / (1 + F.abs("z") / 2)))
 
 
 @registered(FOLD + " select symbol, entry_time, exit_time, direction, round(entry_price, 6) as entry_price, round(exit_price, 6) as exit_price, round(quantity, 6) as quantity, round(pnl, 6) as pnl, round(strength, 6) as strength, round(hours, 6) as hours, reason from tr")
