@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import encoded, fs_of, limit_batches, map_batches, new_dir, pick, written
+from tidemark.llm.common import BROADCAST_ROWS, encoded, fs_of, limit_batches, map_batches, new_dir, pick, written
 
 MAGIC = b"WARC/1.1\r\n"
 #: What a record may start with; the search is for what they share.
@@ -96,8 +96,9 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     first = sig.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     later = sig.join(first.hint("merge"), "digest").where("page_id is null or page_id > first").select("page_id", F.col("digest").alias("d"), "first").distinct()
     later = written(later.withColumnRenamed("page_id", "p"), "revisits")
-    # nulls and hot ids are spread by the digest
-    typed = rows.join(later.hint("merge"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")) & (F.octet_length("html") >= MIN_REVISIT), "left")
+    # pages stay where they are while revisits are few; beyond that nulls and hot ids are spread by the digest
+    later = F.broadcast(later) if later.count() <= BROADCAST_ROWS else later.hint("merge")
+    typed = rows.join(later, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")) & (F.octet_length("html") >= MIN_REVISIT), "left")
     typed = typed.select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "first")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
