@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 1 << 20
 
 #: Bytes of lower-cased words: digits, a-z and every byte of a non-ASCII character; all else becomes a space.
 WORD_TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))

@@ -34,7 +34,7 @@ from tidemark.llm.common import WORD_TABLE, Words, encoded, grams, map_batches,
 WINDOW = 10
 GRAM = 5
 #: Bytes of text handled at once.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: The items' fingerprints are broadcast up to so many rows (of some 200 bytes), and shuffled beyond.
 BROADCAST_ROWS = 100_000
 #: The bitmap has so many bits a fingerprint, and 2 ** 26 bits (8 MB) at most.
