@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
-import math
+import numpy as np
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.special import inverse_normal, normal_cdf
 from tidemark.operators.bars import corr
 
-#: The coefficients of the usual rational approximation of the error function, and the quantiles of the normal distribution in use.
-ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-ERF_P = 0.3275911
-NORMAL = {0.975: 1.96, 0.995: 2.576, 0.9: 1.282}
-
-
-def erf(x: Column) -> Column:
-    t = 1 / (1 + ERF_P * F.abs(x))
-    poly = F.lit(0.0)
-    for a in reversed(ERF):
-        poly = (poly + a) * t
-    return F.signum(x) * (1 - poly * F.exp(-x * x))
-
-
-def normal_cdf(x: Column) -> Column:
-    return (1 + erf(x / math.sqrt(2))) / 2
-
-
-def inverse_normal(p: float) -> float:
-    return NORMAL.get(round(p, 6), 1.96)
-
-
 def binomial_p(successes: Column, trials: Column, null: float) -> Column:
     """Two-sided, by the normal approximation from 30 trials on; with fewer 0.05 where more than the expected succeed, else 0.5."""
     z = F.abs(successes - trials * null) / F.sqrt(trials * null * (1 - null))
@@ -132,3 +111,43 @@ def paired(rows: DataFrame, a: str, b: str, keys=()) -> DataFrame:
     t = F.col("mean_diff") / F.nullif(F.col("s") / F.sqrt("n"), F.lit(0.0))
     d = d.withColumn("t", t).withColumn("cohens_d", F.coalesce(F.col("mean_diff") / F.nullif(F.col("sp"), F.lit(0.0)), F.lit(0.0)))
     return d.select(*keys, "n", "mean_diff", "t", (F.col("n") - 1).alias("df"), "cohens_d", cohens_label(F.col("cohens_d")).alias("effect"), (2 * (1 - normal_cdf(F.abs("t")))).alias("p"))
+
+
+#: Up to so many differences without ties or zeros the signed-rank test is exact.
+EXACT_ROWS = 50
+
+
+def rank_sums(most: int = EXACT_ROWS) -> list[tuple[int, int, float]]:
+    """(n, w, share): the share of the 2^n choices of signs whose ranks sum to w or less, up to the middle."""
+    out, ways = [], np.ones(1)
+    for n in range(1, most + 1):
+        ways = np.pad(ways, (0, n)) + np.pad(ways, (n, 0))
+        share = np.cumsum(ways) / 2.0**n
+        out += [(n, w, float(share[w])) for w in range(n * (n + 1) // 4 + 1)]
+    return out
+
+
+def signed_ranks(rows: DataFrame, a: str, b: str, keys=()) -> DataFrame:
+    """(keys, n, statistic, p, exact): Wilcoxon's test of the differences of two columns that aren't 0; the statistic is the lesser sum of ranks, ties share
+    their mean rank. Exact for up to 50 different ones, else by the normal distribution with the ties' correction; no differences give 0 and 1."""
+    spark, keys = rows.sparkSession, list(keys)
+    diff = F.col(a) - F.col(b)
+    d = rows.where(diff.isNotNull() & ~F.isnan(diff)).select(*keys, diff.alias("d"))
+    # equal sizes are counted before they are ranked
+    same = d.groupBy(*keys, F.abs("d").alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
+    up_to = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    used = F.col("size") > 0
+    live = F.when(used, F.col("c")).otherwise(0)
+    same = same.withColumn("rank", F.sum(live).over(up_to) - (F.col("c") - 1) / 2)
+    c = F.col("c").cast("double")
+    t = same.groupBy(*keys).agg(
+        F.sum(live).alias("n"), F.sum(F.when(used, F.col("rank") * F.col("up")).otherwise(0.0)).alias("plus"), F.sum(F.when(used, c * c * c - c).otherwise(0.0)).alias("ties"),
+        F.max(F.when(used, F.col("c")).otherwise(2)).alias("_most"),
+    )
+    n = F.col("n").cast("double")
+    t = t.withColumn("statistic", F.least("plus", n * (n + 1) / 2 - F.col("plus")))
+    table = spark.createDataFrame(rank_sums(), "n long, w long, share double")
+    t = t.join(F.broadcast(table.withColumnRenamed("n", "_n")), (F.col("n") == F.col("_n")) & (F.col("statistic") == F.col("w")) & (F.col("_most") == 1), "left")
+    z = (F.col("statistic") - n * (n + 1) / 4) / F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
+    p = F.when(F.col("n") == 0, 1.0).when(F.col("share").isNotNull(), F.least(2 * F.col("share"), F.lit(1.0))).otherwise(2 * (1 - normal_cdf(F.abs(z))))
+    return t.select(*keys, "n", "statistic", p.alias("p"), F.col("share").isNotNull().alias("exact"))

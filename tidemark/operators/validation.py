@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,3 +159,76 @@ def latest(versions: DataFrame, keys=("experiment",), version: str = "version")
     """The largest version of each key by its numbers."""
     parts = F.transform(F.split(F.regexp_replace(version, "^v", ""), r"\."), lambda x: x.cast("int"))
     return versions.groupBy(*keys).agg(F.max_by(version, parts).alias(version))
+
+
+def _encoded(space: dict, point: dict) -> list[float]:
+    """A point as numbers from 0 to 1: a range by its place, a list of choices by one number each."""
+    out: list[float] = []
+    for name, own in space.items():
+        if isinstance(own, list):
+            out += [float(point[name] == v) for v in own]
+        else:
+            out.append((point[name] - own[0]) / ((own[1] - own[0]) or 1))
+    return out
+
+
+def _guess(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of a Gaussian process (Matern 5/2) through (x, y); its length is that of the largest likelihood among some."""
+
+    def kernel(a, b, length):
+        r = np.sqrt(5 * np.maximum(((a[:, None] - b[None]) ** 2).sum(2), 0)) / length
+        return (1 + r + r * r / 3) * np.exp(-r)
+
+    best = None
+    for length in (0.1, 0.2, 0.4, 0.8, 1.6):
+        low = np.linalg.cholesky(kernel(x, x, length) + 1e-6 * np.eye(len(x)))
+        w = np.linalg.solve(low.T, np.linalg.solve(low, y))
+        fit = -0.5 * y @ w - np.log(np.diag(low)).sum()
+        if best is None or fit > best[0]:
+            best = fit, length, low, w
+    _, length, low, w = best
+    k = kernel(at, x, length)
+    return k @ w, np.sqrt(np.maximum(1 - (np.linalg.solve(low, k.T) ** 2).sum(0), 1e-12))
+
+
+def bayesian(run, space: dict[str, tuple | list], calls: int = 100, first: int = 10, seed: int = 0, higher_is_better: bool = True) -> list[dict]:
+    """(params, score, error) of each call of run(**params) -> a number, the best first, failed ones last. space: name -> (low, high), of whole numbers if
+    both are, or a list of choices. After some random points each is that of the largest expected improvement. run does the distributed work;
+    what is kept here grows with the calls alone."""
+    rng = np.random.default_rng(seed)
+
+    def draw() -> dict:
+        out = {}
+        for name, own in space.items():
+            if isinstance(own, list):
+                out[name] = own[int(rng.integers(len(own)))]
+            else:
+                whole = all(isinstance(v, int) for v in own)
+                out[name] = int(rng.integers(own[0], own[1] + 1)) if whole else float(rng.uniform(*own))
+        return out
+
+    out: list[dict] = []
+    sign = 1.0 if higher_is_better else -1.0
+    for call in range(calls):
+        done = [r for r in out if r["score"] is not None]
+        point = draw()
+        if call >= first and len(done) > 1:
+            y = sign * np.array([r["score"] for r in done])
+            y = (y - y.mean()) / (y.std() or 1.0)
+            some = [draw() for _ in range(1000)]
+            top = done[int(np.argmax(y))]["params"]
+            some += [{**top, name: other[name]} for other in some[:200] for name in space]  # near the best: one parameter drawn anew
+            seen = [r["params"] for r in out]
+            some = [p for p in some if p not in seen] or some
+            mean, std = _guess(np.array([_encoded(space, r["params"]) for r in done]), y, np.array([_encoded(space, p) for p in some]))
+            z = (mean - y.max()) / std
+            gain = (mean - y.max()) * np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z]) + std * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+            point = some[int(np.argmax(gain))]
+        try:
+            score, error = float(run(**point)), None
+            if not math.isfinite(score):
+                score, error = None, "not a finite number"
+        except Exception as e:  # a failed trial is a result of its own
+            score, error = None, str(e)
+        out.append({"params": point, "score": score, "error": error})
+    return sorted(out, key=lambda r: (r["score"] is None, -sign * (r["score"] or 0.0)))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import special
 from tidemark.operators import bars as B
-from tidemark.operators import quality
+from tidemark.operators import quality, stationarity
 from tidemark.operators import statistics as S
-from tidemark.plans.registry import W, r6, registered, rounded
+from tidemark.plans.registry import SQL, W, r6, registered, rounded
 
 ROWS = f", g as (select symbol, bar_ts, close / nullif(lag(close) over ({W}), 0) - 1 as move, lead(close) over ({W}) / nullif(close, 0) - 1 as ahead, cast(sign(lead(close, 4) over ({W}) - close) as int) as actual from b), r as (select *, -move / (1 + abs(move)) as signal, case when -move / (1 + abs(move)) > 0.2 then 1 when -move / (1 + abs(move)) < -0.2 then -1 else 0 end as predicted from g where move is not null)"
 
@@ -47,11 +48,11 @@ def signal_distribution(b):
     return q.join(m, "symbol").select("symbol", "n", *rounded(9, std="std", low="low", high="high", **{f"p{p}": f"p{p}" for p in _pct}))
 
 
-_t = lambda x: f"(1 / (1 + {S.ERF_P}::double * abs({x})))"
+_t = lambda x: f"(1 / (1 + {special.ERF_P}::double * abs({x})))"
 
 
 def _erf(x: str) -> str:
-    poly = " + ".join(f"{a}::double * {_t(x)} ** {k + 1}" for k, a in enumerate(S.ERF))
+    poly = " + ".join(f"{a}::double * {_t(x)} ** {k + 1}" for k, a in enumerate(special.ERF))
     return f"(sign({x}) * (1 - ({poly}) * exp(-({x}) * ({x}))))"
 
 
@@ -94,3 +95,26 @@ def sample_sizes(b):
 def paired_tests(b):
     d = b.select("symbol", (F.col("high") - F.col("close")).alias("above"), (F.col("close") - F.col("low")).alias("below"))
     return S.paired(d, "above", "below", ("symbol",)).select("symbol", "n", *r6(mean_diff="mean_diff", t="t"), "df", *r6(cohens_d="cohens_d"), "effect", *r6(p="p"))
+
+
+_ranks = ", d as (select symbol, (high - close) - (close - low) as d from b), e as (select symbol, d, abs(d) as size from d where d <> 0), k as (select symbol, d, rank() over (partition by symbol order by size) + (count(*) over (partition by symbol, size) - 1) / 2 as rk, count(*) over (partition by symbol, size) as c from e), t as (select symbol, count(*)::double as n, sum(rk) filter (where d > 0) as plus, sum(c * c - 1)::double as ties from k group by symbol), u as (select *, least(plus, n * (n + 1) / 2 - plus) as w from t)"
+
+
+@registered(_ranks + f" select symbol, n::bigint as n, w as statistic, round(2 * (1 - {_cdf('abs((w - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24))')}), 6) as p from u", "hour")
+def signed_rank_tests(b):
+    d = b.select("symbol", (F.col("high") - F.col("close")).alias("above"), (F.col("close") - F.col("low")).alias("below"))
+    return S.signed_ranks(d, "above", "below", ("symbol",)).select("symbol", "n", "statistic", *r6(p="p"))
+
+
+@registered(f", d as (select symbol, close - lag(close) over ({W}) as dy, lag(close) over ({W}) as y from b), s as (select symbol, count(*) + 1 as n, regr_slope(dy, y) as slope, regr_sxx(dy, y) as sxx, regr_syy(dy, y) as syy from d where y is not null group by symbol having count(*) >= 19) select symbol, n, round(slope / sqrt((syy - slope * slope * sxx) / (n - 3) / sxx), 6) as statistic from s")
+def dickey_fuller(b):
+    """Tests for a unit root without lags, over days of a symbol for each user."""
+    return stationarity.adf(b, lags=0).select("symbol", "n", *r6(statistic="statistic"))
+
+
+@registered("", "hour")
+def unit_roots(b):
+    return stationarity.adf(b).select("symbol", "n", "lags", *r6(statistic="statistic", p="p"), "stationary")
+
+
+del SQL["unit_roots"]  # lags are chosen among many regressions: no SQL
