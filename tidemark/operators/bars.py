@@ -28,6 +28,12 @@ def corr(x, y) -> Column:
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
+def divided(x, y) -> Column:
+    """x / y as floating point has it: by 0 an infinity, or not a number."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return F.when(y == 0, x.cast("double") * float("inf")).otherwise(x / y)
+
+
 def by_symbol():
     return Window.partitionBy("symbol").orderBy("bar_ts")
 

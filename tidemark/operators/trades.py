@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.bars import corr, spread
+from tidemark.operators.bars import corr, divided, spread
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ def drawdown_periods(equity: DataFrame, value: str = "equity", keys=("symbol",),
     w = Window.partitionBy(*keys).orderBy(order)
     d = equity.select(*keys, order, F.col(value).alias("v")).withColumn("peak", F.max("v").over(w))
     d = d.withColumn("under", F.col("v") < F.col("peak")).withColumn("period", F.sum(F.when(F.col("v") == F.col("peak"), F.when(F.col("peak") > F.coalesce(F.lag("peak").over(w), F.lit(-1e300)), 1).otherwise(0)).otherwise(0)).over(w))
-    d = d.withColumn("lost", (F.col("peak") - F.col("v")) / F.col("peak"))
+    d = d.withColumn("lost", divided(F.col("peak") - F.col("v"), "peak"))
     under = F.when(F.col("under"), F.col(order))
     runs = d.groupBy(*keys, "period").agg(F.min(under).alias("start_time"), F.max(order).alias("last_ts"), F.count_if("under").alias("bars"), (F.max_by("lost", order) if last_depth else F.max("lost")).alias("depth"), F.min(order).alias("first_ts"))
     runs = runs.withColumn("next_ts", F.lead("first_ts").over(Window.partitionBy(*keys).orderBy("period")))
