@@ -147,12 +147,12 @@ def performance(equity: DataFrame, value: str = "equity", keys=("symbol",), orde
     """(keys, n, total_return, annual_log, annual_return, volatility, sharpe, population_sharpe, sortino, calmar, max_drawdown, var_95, cvar_95) of a series of values.
     Quantiles interpolate; they come from a bounded sketch of a group's returns unless it has few."""
     w = Window.partitionBy(*keys).orderBy(order)
-    d = equity.select(*keys, order, F.col(value).alias("v")).withColumn("r", F.col("v") / F.nullif(F.lag("v").over(w), F.lit(0.0)) - 1).withColumn("dd", F.col("v") / F.max("v").over(w) - 1)
+    d = equity.select(*keys, order, F.col(value).alias("v")).withColumn("r", F.col("v") / F.nullif(F.lag("v").over(w), F.lit(0.0)) - 1).withColumn("dd", divided("v", F.max("v").over(w)) - 1)
     root, r = per_year**0.5, F.col("r")
     cut = F.percentile("r", 0.05)
     d = d.join(d.groupBy(*keys).agg(cut.alias("var_95")), list(keys))
     days = F.datediff(F.max(order), F.min(order))
-    total = F.max_by("v", order) / F.min_by("v", order) - 1
+    total = divided(F.max_by("v", order), F.min_by("v", order)) - 1
     out = d.groupBy(*keys, "var_95").agg(
         F.count("*").alias("n"), total.alias("total_return"), F.when((days > 0) & (total > -1), F.log(1 + total) * 365.25 / days).alias("annual_log"), (F.stddev_samp(r) * root).alias("volatility"),
         F.avg(r).alias("_m"), F.stddev_samp(r).alias("_s"), F.stddev_pop(r).alias("_p"), F.stddev_samp(F.when(r < 0, r)).alias("_down"), F.min("dd").alias("max_drawdown"), F.avg(F.when(r <= F.col("var_95"), r)).alias("cvar_95"),
