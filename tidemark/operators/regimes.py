@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.bars import back, by_symbol, corr
+from tidemark.operators.bars import back, by_symbol, corr, divided
 
 
 def runs(rows: DataFrame, state: str = "regime", value: str = "close") -> DataFrame:
@@ -96,7 +96,7 @@ def performance_by(rows: DataFrame, state: str = "regime", value: str = "equity"
     """(symbol, state, n, share, total_return, volatility, sharpe): returns are taken between neighbours within the state."""
     own = Window.partitionBy("symbol", state).orderBy("bar_ts")
     d = rows.withColumn("_r", F.col(value) / F.nullif(F.lag(value).over(own), F.lit(0.0)) - 1)
-    out = d.groupBy("symbol", state).agg(F.count("*").alias("n"), (F.max_by(value, "bar_ts") / F.min_by(value, "bar_ts") - 1).alias("total_return"), F.stddev_samp("_r").alias("_s"), F.avg("_r").alias("_m"))
+    out = d.groupBy("symbol", state).agg(F.count("*").alias("n"), (divided(F.max_by(value, "bar_ts"), F.min_by(value, "bar_ts")) - 1).alias("total_return"), F.stddev_samp("_r").alias("_s"), F.avg("_r").alias("_m"))
     out = out.withColumns({"volatility": F.col("_s") * per_year**0.5, "sharpe": F.coalesce(F.col("_m") / F.nullif("_s", F.lit(0.0)) * per_year**0.5, F.lit(0.0)), "share": F.col("n") / F.sum("n").over(Window.partitionBy("symbol"))})
     return out.drop("_s", "_m")
 
