@@ -33,6 +33,6 @@ def differ(spark, tmp_path):
 ZEROS = {1: [0.0, 5.0, 3.0, 8.0, 2.0, 9.0, 1.0], 2: [0.0, 0.0, 0.0], 3: [4.0, 0.0, 6.0, 2.0, 0.0, 3.0], 4: [0.0, 0.0, 7.0, 1.0, 2.0, 0.0], 5: [2.0, 3.0, 1.0, 5.0, 4.0], 6: [0.0]}
 
 
-@pytest.mark.parametrize("name", ["drawdown_periods", "performance", "regime_performance"])
+@pytest.mark.parametrize("name", ["drawdown_periods", "performance", "regime_performance", "regime_summary"])
 def test_series_that_begin_with_0(differ, name):
     assert differ(name, ZEROS) == []
