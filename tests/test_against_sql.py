@@ -36,3 +36,7 @@ ZEROS = {1: [0.0, 5.0, 3.0, 8.0, 2.0, 9.0, 1.0], 2: [0.0, 0.0, 0.0], 3: [4.0, 0.
 @pytest.mark.parametrize("name", ["drawdown_periods", "performance", "regime_performance", "regime_summary"])
 def test_series_that_begin_with_0(differ, name):
     assert differ(name, ZEROS) == []
+
+
+def test_no_short_entry_at_the_average_itself(differ):
+    assert differ("held_signals", {1: [100.0, 40.0, 60.0, 60.0, 65.0, 66.0, 67.0], 2: [100.0, 40.0, 60.0, 60.0, 64.0]}) == []
