@@ -2,7 +2,6 @@
 
 import datetime as dt
 import math
-import random
 
 import duckdb
 import pandas as pd
@@ -40,3 +39,10 @@ def test_series_that_begin_with_0(differ, name):
 
 def test_no_short_entry_at_the_average_itself(differ):
     assert differ("held_signals", {1: [100.0, 40.0, 60.0, 60.0, 65.0, 66.0, 67.0], 2: [100.0, 40.0, 60.0, 60.0, 64.0]}) == []
+
+
+def test_ranges_equal_to_their_mean(differ):
+    """The last step is the mean of the nine before, in cents."""
+    a = [236.43, 262.74, 74.96, 193.7, 33.49, 295.37, 104.01, 10.02, 7.31, 8.33, 212.84, 177.41, 3.01, 288.76, 124.85, 252.97]
+    b = [192.53, 289.17, 163.63, 277.28, 165.57, 128.89, 193.0, 279.6, 11.31, 157.36, 79.54, 243.7, 261.29, 132.47, 135.82, 242.13]
+    assert differ("entry_filters", {1: a, 2: b}) == []

@@ -13,6 +13,14 @@ def ewm(x: np.ndarray, alpha: float) -> np.ndarray:
     return pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
 
 
+def trailing(x: np.ndarray, n: int) -> np.ndarray:
+    """Means of the last n values, added oldest first, so that equal ones compare as equal; undefined before there are n."""
+    total = np.zeros(max(len(x) - n + 1, 0))
+    for k in range(n):
+        total += x[k : k + len(total)]
+    return np.concatenate((np.full(len(x) - len(total), np.nan), total / n))
+
+
 def share(a: np.ndarray, b: np.ndarray, least: float = 1e-10) -> np.ndarray:
     """100 a / b, 0 where b is not over least."""
     return np.where(b > least, 100 * a / np.where(b > least, b, 1.0), 0.0)
@@ -70,8 +78,7 @@ def filters(bars: DataFrame, length: int = 14, short: int = 1, long: int = 10, a
         before = np.concatenate((c[:1], c[:-1]))
         ph, pl = np.concatenate((high[:1], high[:-1])), np.concatenate((low[:1], low[:-1]))
         tr = np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before)))
-        s = pd.Series(tr)
-        a, b = s.rolling(short).mean().to_numpy(), s.rolling(long).mean().to_numpy()
+        a, b = trailing(tr, short), trailing(tr, long)
         volatile = np.isnan(b) | (a > b)
         up, down = high - ph, pl - low
         sums = [ewm(np.concatenate(([0.0], x)), 1 / length)[1:] for x in (tr, np.where(up > down, np.maximum(up, 0), 0), np.where(down > up, np.maximum(down, 0), 0))]
