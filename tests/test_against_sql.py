@@ -6,7 +6,9 @@ import math
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import fusion
 from tidemark.plans.queries import QUERIES, SQL
 
 
@@ -46,3 +48,22 @@ def test_ranges_equal_to_their_mean(differ):
     a = [236.43, 262.74, 74.96, 193.7, 33.49, 295.37, 104.01, 10.02, 7.31, 8.33, 212.84, 177.41, 3.01, 288.76, 124.85, 252.97]
     b = [192.53, 289.17, 163.63, 277.28, 165.57, 128.89, 193.0, 279.6, 11.31, 157.36, 79.54, 243.7, 261.29, 132.47, 135.82, 242.13]
     assert differ("entry_filters", {1: a, 2: b}) == []
+
+
+CLOSE_TO_MEAN = [
+    [249.36, 147.29, 154.75, 213.52, 124.4, 258.45, 68.8, 30.76, 159.91, 156.36],
+    [94.96, 7.05, 136.38, 274.46, 182.34, 210.47, 32.77, 60.92, 206.29, 133.96],
+    [157.37, 79.55, 243.71, 261.3, 132.48, 135.77, 217.83, 56.7, 120.37, 156.12],
+    [277.7, 189.34, 115.77, 150.45, 298.11, 88.24, 216.02, 179.57, 199.57, 190.53],
+]
+
+
+def test_texts_of_a_close_next_to_its_mean(differ):
+    """The last close is the mean in cents, and the mean of doubles is less."""
+    assert differ("signal_texts", dict(enumerate(CLOSE_TO_MEAN))) == []
+
+
+def test_thousandths_as_printf_has_them(spark):
+    x = [s * (k / 10000 + e) for k in range(5, 3000, 10) for e in (0.0, 1e-12) for s in (1, -1)] + [0.0625, 0.1875, -0.0, 0.0, -0.0001, 1e-300, 123456.7895, 5e15]
+    d = spark.createDataFrame([(v,) for v in x], "x double").select("x", fusion.cache_key([F.col("x")]).alias("y"))
+    assert [(r.x, r.y) for r in d.collect()] == [(v, f"{v:.3f}") for v in x]

@@ -120,8 +120,19 @@ def state_weights(state: Column, table: dict[int, dict[str, float]], static: dic
     return out
 
 
+def thousandths(x: Column) -> Column:
+    """x rounded to thousandths by its exact binary value, halves to even, as C's printf does; Java's format rounds the shortest decimal, halves up.
+    The sign stays, that of 0 too."""
+    a = F.abs(x)
+    high = a * 134217729.0 - (a * 134217729.0 - a)  # the upper half of the bits: a thousand times it and the rest are exact
+    whole = F.floor(a * 1000)
+    over = (high * 1000 - (whole + 0.5)) + (a - high) * 1000
+    n = F.when(over > 0, whole + 1).when(over < 0, whole).otherwise(whole + whole % 2)
+    return F.when(a < 4e12, F.signum(x) * (n / 1000.0)).otherwise(x)
+
+
 def cache_key(values: list[Column]) -> Column:
-    return F.format_string("|".join(["%.3f"] * len(values)), *values)
+    return F.format_string("|".join(["%.3f"] * len(values)), *[thousandths(x) for x in values])
 
 
 def rounded_key(x: Column) -> Column:
@@ -129,7 +140,7 @@ def rounded_key(x: Column) -> Column:
 
 
 def compact(symbol: Column, side: Column, strength: Column, confidence: Column) -> Column:
-    return F.format_string("%s %s strength=%.3f confidence=%.3f", symbol, side, strength, confidence)
+    return F.format_string("%s %s strength=%.3f confidence=%.3f", symbol, side, thousandths(strength), thousandths(confidence))
 
 
 def side_of(text: Column) -> Column:

@@ -19,7 +19,7 @@ def rows(b):
     w = B.last(10)
     m = lambda n: F.col("close") / F.nullif(B.back("close", n), F.lit(0.0)) - 1
     d = b.select("symbol", "bar_ts", "close", "volume", (F.row_number().over(B.by_symbol()) - 1).alias("i"), m(1).alias("m1"), m(5).alias("m5"), ((F.avg("close").over(w) - F.col("close")) / F.nullif(F.stddev_samp("close").over(w), F.lit(0.0))).alias("z"))
-    return d.select("*", *rounded(9, **{n: F.col(c) / (1 + F.abs(c)) for n, c in (("s_ldc", "m5"), ("s_mr", "z"), ("s_tsmom", "m1"))}))
+    return d.select("*", *rounded(9, -0.0, **{n: F.col(c) / (1 + F.abs(c)) for n, c in (("s_ldc", "m5"), ("s_mr", "z"), ("s_tsmom", "m1"))}))
 
 
 def known(b):
@@ -95,7 +95,7 @@ def signal_texts(b):
     d = fused(b).withColumn("probs", F.array(F.lit(0.5), F.lit(0.5))).withColumn("components", F.struct("s_ldc", "s_mr", "s_tsmom")).withColumn("confidence", F.abs("s_mr"))
     d = d.withColumn("json", U.from_json(U.to_json(F.struct("symbol", "side", "strength", "confidence", "components", "probs"))))
     text = F.when(F.col("volume") > 3, "nothing").otherwise(F.concat(F.lit(" "), F.lower("side")))
-    return d.select("symbol", "bar_ts", U.cache_key([x * 0.99917 for x in cols("s_ldc", "s_mr", "s_tsmom")]).alias("key"), U.rounded_key(F.col("s_mr")).alias("k"), U.compact(F.col("symbol"), F.col("side"), F.col("strength"), F.col("confidence")).alias("line"), U.side_of(text).alias("parsed"), U.checksum(F.col("symbol"), F.col("side"), F.unix_timestamp("bar_ts")).alias("checksum"), F.col("json.side").alias("json_side"), *r6(json_mr="json.components.s_mr"))
+    return d.select("symbol", "bar_ts", U.cache_key([x * 0.99917 for x in cols("s_ldc", "s_mr", "s_tsmom")]).alias("key"), U.rounded_key(F.col("s_mr")).alias("k"), U.compact(F.col("symbol"), F.col("side"), F.col("strength"), F.col("confidence")).alias("line"), U.side_of(text).alias("parsed"), U.checksum(F.col("symbol"), F.col("side"), F.unix_timestamp("bar_ts")).alias("checksum"), F.col("json.side").alias("json_side"), *rounded(6, -0.0, json_mr="json.components.s_mr"))
 
 
 _lim = D.Limits()

@@ -66,13 +66,14 @@ def registered(sql: str, base: str = "user", name: str | None = None):
     return keep
 
 
-def rounded(digits: int, **columns) -> list:
-    """Columns or expressions, rounded half away from 0 as the binary product with a power of ten has it, which is what DuckDB does."""
+def rounded(digits: int, zero: float = 0.0, **columns) -> list:
+    """Columns or expressions, rounded half away from 0 as the binary product with a power of ten has it, which is what DuckDB does. A zero of -0.0
+    leaves negative zeros as they are."""
     out = []
     for n, c in columns.items():
         x = (F.expr(c) if isinstance(c, str) else c) * float(10**digits)
         whole = F.signum(x) * F.floor(F.abs(x) + 0.5)
-        out.append((F.when(F.abs(x) < 4e15, whole).otherwise(x) / float(10**digits) + 0.0).alias(n))  # no negative 0
+        out.append((F.when(F.abs(x) < 4e15, whole).otherwise(x) / float(10**digits) + zero).alias(n))  # no negative 0
     return out
 
 
