@@ -67,3 +67,8 @@ def test_thousandths_as_printf_has_them(spark):
     x = [s * (k / 10000 + e) for k in range(5, 3000, 10) for e in (0.0, 1e-12) for s in (1, -1)] + [0.0625, 0.1875, -0.0, 0.0, -0.0001, 1e-300, 123456.7895, 5e15]
     d = spark.createDataFrame([(v,) for v in x], "x double").select("x", fusion.cache_key([F.col("x")]).alias("y"))
     assert [(r.x, r.y) for r in d.collect()] == [(v, f"{v:.3f}") for v in x]
+
+
+def test_signals_halfway_between_millionths(differ):
+    """Two closes at a distance of 5.12 have a signal of 0.1953125."""
+    assert differ("banded_signals", {u: [u + 0.37 * (u % 7), round(u + 0.37 * (u % 7) + (5.12 if u % 2 else -5.12), 2)] for u in range(6, 300)}) == []

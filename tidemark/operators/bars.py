@@ -59,6 +59,18 @@ def std(n: int = 20, c: str = "close") -> Column:
     return F.stddev_samp(c).over(last(n))
 
 
+def std_in_order(n: int = 20, c: str = "close") -> Column:
+    """std by Welford's steps in the order of bars, with the increments as (x - mean before) * (x - mean after): for where a rounding in the last bit
+    decides."""
+    empty = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(a: Column, x: Column) -> Column:
+        mean = a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("mean"), (a["m2"] + (x - mean) * (x - a["mean"])).alias("m2"))
+
+    return F.aggregate(F.collect_list(F.col(c).cast("double")).over(last(n)), empty, step, lambda a: F.when(a["n"] > 1, F.sqrt(a["m2"] / (a["n"] - 1))))
+
+
 def zscore(n: int = 20) -> Column:
     return (F.col("close") - sma(n)) / F.nullif(std(n), F.lit(0.0))
 

@@ -18,6 +18,12 @@ def features(bars: DataFrame, n: int = 20) -> DataFrame:
     return own.join(rec, ["symbol", "bar_ts"]).select("symbol", "bar_ts", "open", "high", "low", "close", "volume", *NAMES)
 
 
+def levels(bars: DataFrame, n: int = 20) -> DataFrame:
+    """(symbol, bar_ts, std_20, zscore_20, momentum) of features, without its recurrences and with deviations in the order of bars."""
+    d = bars.select("symbol", "bar_ts", "close", B.sma(n).alias("sma_20"), B.std_in_order(n).alias("std_20"), B.momentum().alias("momentum"))
+    return d.select("symbol", "bar_ts", "std_20", ((F.col("close") - F.col("sma_20")) / F.nullif("std_20", F.lit(0.0))).alias("zscore_20"), "momentum")
+
+
 #: What holds of a sound feature; null ones are sound.
 RANGES = {
     "rsi": "rsi between 0 and 100",

@@ -39,7 +39,7 @@ def feature_ranges(b):
 
 @registered(FEATURES + ", s as (select symbol, bar_ts, -zscore_20 / greatest(std_20, 1e-8) as m, momentum as t from f) select symbol, bar_ts, round(case when abs(m) < 0.1 then 0 else m end, 6) as s_mr, round(case when abs(t) < 0.01 then 0 else t end, 6) as s_tsmom from s")
 def banded_signals(b):
-    return T.signals(T.features(b)).select("symbol", "bar_ts", *r6(s_mr="s_mr", s_tsmom="s_tsmom"))
+    return T.signals(T.levels(b)).select("symbol", "bar_ts", *r6(s_mr="s_mr", s_tsmom="s_tsmom"))
 
 
 @registered(FEATURES + ", v as (select symbol, bar_ts, rsi is not null and wavetrend_1 is not null and cci is not null and adx is not null and wavetrend_2 is not null as whole, [rsi::float::double, wavetrend_1::float::double, cci::float::double, adx::float::double, wavetrend_2::float::double] as v, [coalesce(rsi, 50)::float::double, coalesce(wavetrend_1, 0)::float::double, coalesce(cci, 0)::float::double, coalesce(adx, 25)::float::double, coalesce(momentum, 0)::float::double] as d from f) select symbol, bar_ts, round(case when whole then list_sum(v) end, 4) + 0 as v_sum, round(list_sum(d), 4) + 0 as d_sum, case when whole then 5 end as v_size from v")
