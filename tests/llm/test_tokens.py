@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
@@ -23,3 +24,10 @@ def test_another_tokenizer_is_used_whole():
     path = public_tokenizers.path("byte_bpe_50k.json")
     enc = records.Encoder(path)
     assert not enc.own and list(enc.ids(["Hello  World"])[0]) == Tokenizer.from_file(path).encode("Hello  World", add_special_tokens=False).ids
+
+
+def test_words_are_kept_as_bytes_of_their_ids():
+    path = records.tokenizer_path()
+    tok, enc = Tokenizer.from_file(path), records.Encoder(path)
+    for w in ("the", "unbelievably", "naïve", "ÿ", "'s"):
+        assert np.frombuffer(enc[w.lower()], np.uint32).tolist() == tok.encode(w, add_special_tokens=False).ids

@@ -34,7 +34,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +67,7 @@ WORD = re.compile(SPLIT.replace(r"\p{L}", _plain("L")).replace(r"\p{N}", _plain(
 
 
 class Encoder(dict):
-    """Ids of texts; as a dict, of words."""
+    """Ids of texts; as a dict, of words, as the bytes of their array."""
 
     _made: dict[str, Encoder] = {}
 
@@ -83,7 +82,7 @@ class Encoder(dict):
         split = [(x["type"], x.get("pattern", {}).get("Regex"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in pre]
         self.own = norm == NORMALIZER and split == [("Split", SPLIT, True, None, None), ("ByteLevel", None, None, False, False)] and all(t["content"].startswith("<|") for t in rules["added_tokens"])
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # a byte is written as itself or, if it can't be seen, as one of the characters from 256 on
-        self.shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+        self.shown = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -92,8 +91,8 @@ class Encoder(dict):
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(t.id for t in self.tok.model.tokenize(word if word.isascii() else "".join(self.shown[b] for b in word.encode())))
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", [t.id for t in self.tok.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.shown))]).tobytes()
         if len(word) <= LONGEST:
             if len(self) >= CACHE:
                 self.clear()
@@ -101,7 +100,7 @@ class Encoder(dict):
         return ids
 
     def ids(self, texts: list[str]) -> list[array]:
-        out = [None if not self.own or ODD.search(t) else array("I", chain.from_iterable(map(self.__getitem__, WORD.findall(t.lower())))) for t in texts]
+        out = [None if not self.own or ODD.search(t) else array("I", b"".join(map(self.__getitem__, WORD.findall(t.lower())))) for t in texts]
         rest = [k for k, x in enumerate(out) if x is None]
         for i in range(0, len(rest), CHUNK):
             part = rest[i : i + CHUNK]
