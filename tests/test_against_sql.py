@@ -39,6 +39,11 @@ def test_series_that_begin_with_0(differ, name):
     assert differ(name, ZEROS) == []
 
 
+def test_regimes_of_infinite_returns_and_of_none(differ):
+    """Two regimes with an infinite return; one infinite, one not a number, one finite; one not a number and two finite."""
+    assert differ("regime_summary", {1: [0.0, 3.0, 9.0, 6.0, 1.0, 0.0, 4.0, 1.0], 2: [0.0, 6.0, 9.0, 4.0, 3.0, 4.0, 3.0, 1.0, 0.0], 3: [6.0, 1.0, 9.0, 2.0, 3.0, 4.0, 0.0, 1.0, 0.0]}) == []
+
+
 def test_no_short_entry_at_the_average_itself(differ):
     assert differ("held_signals", {1: [100.0, 40.0, 60.0, 60.0, 65.0, 66.0, 67.0], 2: [100.0, 40.0, 60.0, 60.0, 64.0]}) == []
 
